@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, mixing, secrets
+from quadrille.llm import bpe, chat, mixing, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op2_bpe": bpe.op2_bpe,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_secret_scan": secrets.op7_secret_scan,
