@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, mixing, secrets, simhash
+from quadrille.llm import bpe, chat, mixing, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_chat_format": chat.op8_chat_format,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
