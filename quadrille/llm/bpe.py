@@ -184,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     short_batches(docs.sparkSession)
     docs = docs.drop("ids").withColumn(text, whole_text(text))
     at = docs.columns.index(text)
-    schema = docs.drop(text).schema.add("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*docs.drop(text).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -202,7 +202,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     short_batches(docs.sparkSession)
     docs = docs.drop("decoded")
     at = docs.columns.index(ids)
-    schema = docs.drop(ids).schema.add("decoded", "string")
+    schema = T.StructType([*docs.drop(ids).schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)

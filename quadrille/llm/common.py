@@ -27,18 +27,23 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors and driver share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests) a folder of this machine is used.
+    The session's ``spark.checkpoint.dir``; only where that is unset (tests) a
+    folder of this machine is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-")
         )
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, mixing, secrets, simhash, toxicity
+from quadrille.llm import bpe, chat, linededup, mixing, secrets, simhash, syncmers, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_bpe": bpe.op2_bpe,
+        "op3_line_dedup": linededup.op3_line_dedup,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_chat_format": chat.op8_chat_format,
+        "op9_syncmers": syncmers.op9_syncmers,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
