@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared checkpoint folder and read again.
+
+    For wide intermediate rows: columns are compressed, and a reader takes only
+    those it needs.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hot_keys(counts: DataFrame, key: str, n: str, total: int, share: float = HOT_SHARE) -> DataFrame:
     """Keys of ``counts`` that hold over ``share`` of ``total`` rows.
 
@@ -55,27 +67,26 @@ def hot_keys(counts: DataFrame, key: str, n: str, total: int, share: float = HOT
     return counts.where(F.col(n) > total * share).select(key)
 
 
-def lookup(
-    big: DataFrame, small: DataFrame, key: str, hot: DataFrame, salts: int = 64, how: str = "inner"
-) -> DataFrame:
-    """``big`` joined to ``small`` (unique by ``key``), with hot keys spread.
+def lookup(big: DataFrame, small: DataFrame, keys: str | list[str], hot: DataFrame, salts: int = 64) -> DataFrame:
+    """``big`` joined to ``small`` (unique by ``keys``), with hot keys spread.
 
     Rows of a hot key are dealt over ``salts`` partitions; ``small`` has its
-    row for that key once in each of them. ``hot`` is bounded (see
-    :func:`hot_keys`) and is the only side that is broadcast.
+    row for that key once in each of them. ``hot`` has hot values of the first
+    key; it is bounded (see :func:`hot_keys`) and is the only side broadcast.
     """
-    mark = F.broadcast(hot.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot")))
-    left = big.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn(
+    keys = [keys] if isinstance(keys, str) else keys
+    mark = F.broadcast(hot.select(F.col(keys[0]).alias("_hot_key"), F.lit(True).alias("_hot")).distinct())
+    left = big.join(mark, F.col(keys[0]) == F.col("_hot_key"), "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int"),
     ).drop("_hot_key", "_hot")
-    right = small.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn(
+    right = small.join(mark, F.col(keys[0]) == F.col("_hot_key"), "left").withColumn(
         "_salt",
         F.explode(
             F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         ),
     ).drop("_hot_key", "_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 def whole_text(name: str = "text") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, linededup, mixing, secrets, simhash, syncmers, toxicity
+from quadrille.llm import bpe, chat, linededup, mixing, secrets, simhash, suffixdedup, syncmers, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op2_bpe": bpe.op2_bpe,
         "op3_line_dedup": linededup.op3_line_dedup,
+        "op4_substring_dedup": suffixdedup.op4_substring_dedup,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_chat_format": chat.op8_chat_format,
