@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, linededup, mixing, secrets, simhash, suffixdedup, syncmers, toxicity
+from quadrille.llm import bm25, bpe, chat, linededup, mixing, secrets, simhash, suffixdedup, syncmers, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_substring_dedup": suffixdedup.op4_substring_dedup,
+        "op5_bm25": bm25.op5_bm25,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_chat_format": chat.op8_chat_format,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_chat_format": chat.OP8_SQL}
+    return {"op5_bm25": bm25.OP5_SQL, "op8_chat_format": chat.OP8_SQL}
