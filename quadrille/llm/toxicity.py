@@ -42,7 +42,9 @@ MOST_TOXIC, MOST_CLEAN = 1000, 2000
 WORD_BITS, PREFIX_BITS, PREFIX, LEAST_DOCS = 22, 20, 4, 2
 #: Vector size, filter widths, filters of each width.
 DIM, WIDTHS, FILTERS = 6, (1, 2, 3), 4
-EPOCHS, BATCH, RATE, DECAY, SEED = 5, 64, 0.08, 1e-4, 11
+EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 0.08, 1e-4, 11
+#: Documents of the usual share that each bucket's log-odds begin with.
+PRIOR = 5
 #: Score from which the query predicts toxic, and chunks a worker remembers.
 THRESHOLD, MEMO = 0.7, 400_000
 #: Words pooled at once.
@@ -157,7 +159,8 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None]) -> Model:
     kept = (n >= LEAST_DOCS) & (keys >= 0)
     keys, pos, n = keys[kept], pos[kept], n[kept]
     share = y.mean()
-    odds = np.log((pos + 2 * share) / (n + 2)) - np.log((n - pos + 2 * (1 - share)) / (n + 2)) - np.log(share / (1 - share))
+    odds = np.log((pos + PRIOR * share) / (n + PRIOR)) - np.log((n - pos + PRIOR * (1 - share)) / (n + PRIOR))
+    odds -= np.log(share / (1 - share))
     rng = np.random.default_rng(SEED)
     vectors = np.zeros((len(keys) + 1, DIM), np.float32)
     vectors[1:] = rng.normal(0, 0.05, (len(keys), DIM))
