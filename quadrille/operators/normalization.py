@@ -22,18 +22,21 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], accu
     below the bracket and groups the values inside, and only those (about
     4 / accuracy of the rows) are put in order.
     """
-    slack = 2.0 / accuracy
-    marks = [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    columns = [c for c in columns if counts[c]]
+
+    def marks(c: str) -> list[float]:
+        # The sketch's error, and the two neighbours that are interpolated.
+        slack = 2.0 / accuracy + 3.0 / counts[c]
+        return [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
+
     sketch = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), marks, accuracy).alias(f"q_{c}") for c in columns],
-        *[F.count(c).alias(f"n_{c}") for c in columns],
+        F.lit(0), *[F.percentile_approx(F.col(c).cast("double"), marks(c), accuracy).alias(c) for c in columns]
     ).first()
     cells = []
     for c in columns:
         for k, s in enumerate(shares):
-            if not sketch[f"n_{c}"]:
-                continue
-            low, high = sketch[f"q_{c}"][2 * k : 2 * k + 2]
+            low, high = sketch[c][2 * k : 2 * k + 2]
             x = F.col(c).cast("double")
             # Below the bracket only the number matters; above it nothing does.
             cells.append(
@@ -42,7 +45,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], accu
                     F.struct(
                         F.lit(c).alias("feature"),
                         F.lit(s).alias("share"),
-                        F.lit(sketch[f"n_{c}"]).alias("n"),
+                        F.lit(counts[c]).alias("n"),
                         F.when(x >= low, x).alias("value"),
                     ),
                 )

@@ -199,17 +199,19 @@ _RECORD = f"""count(*) as n, round(min({_X}), 6) as minimum, {_quantiles(_X)}, r
   {_share('score <= 1e-6::float')} as zero_fraction, {_share('score >= (1 - 1e-6)::float')} as one_fraction, {_share('score <= 0.10::float')} as low_fraction, {_share('score >= 0.90::float')} as high_fraction, """ + ", ".join(
     f"{_share(f'score >= {t}::float')} as fraction_ge_{t:.2f}".replace("fraction_ge_0.", "fraction_ge_0_") for t in THRESHOLDS
 )
+# Shares of a few hundred rows have up to eight places, and must not be rounded at a tie.
+_RECORD = _RECORD.replace(", 6)", ", 9)")
 
 
 def image_record(spark, sf):
-    return rounded(st.score_record(cells(spark, sf), ["split", "vec_id"], "score", THRESHOLDS))
+    return rounded(st.score_record(cells(spark, sf), ["split", "vec_id"], "score", THRESHOLDS), 9)
 
 
 SQL["image_record"] = f"with {CELLS} select split, vec_id, {_RECORD} from cells group by split, vec_id"
 
 
 def split_record(spark, sf):
-    return rounded(st.score_record(cells(spark, sf), ["split"], "score", THRESHOLDS))
+    return rounded(st.score_record(cells(spark, sf), ["split"], "score", THRESHOLDS), 9)
 
 
 SQL["split_record"] = f"with {CELLS} select split, {_RECORD} from cells group by split"
@@ -221,11 +223,11 @@ def threshold_fractions(spark, sf):
 
     c = cells(spark, sf)
     t = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), (F.col("score") >= scoring.with_float(t)).alias("over")) for t in threshold_candidates()]))
-    return rounded(c.select("split", t.alias("x")).groupBy("split", F.col("x.t").alias("threshold")).agg(st.share(F.col("x.over")).alias("fraction")))
+    return rounded(c.select("split", t.alias("x")).groupBy("split", F.col("x.t").alias("threshold")).agg(st.share(F.col("x.over")).alias("fraction")), 9)
 
 
 SQL["threshold_fractions"] = f"""with {CELLS}, t as (select round(0.5::double + i * 0.01::double, 10) as threshold from range(17) r(i))
-select split, round(threshold, 6) as threshold, {_share('score >= threshold::float')} as fraction from cells cross join t group by split, threshold"""
+select split, round(threshold, 9) as threshold, {_share('score >= threshold::float').replace(', 6)', ', 9)')} as fraction from cells cross join t group by split, threshold"""
 
 
 def threshold_candidates(spark, sf):
