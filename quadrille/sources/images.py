@@ -76,7 +76,7 @@ def read_images(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
         F.when(ok, F.col("data")).alias("pixels"),
     )
     hashed = shaped.withColumn(
-        "content_hash", F.when("readable", hashing.pixel_sha256(F.col("mode"), F.col("width"), F.col("height"), F.col("pixels")))
+        "content_hash", F.when(F.col("readable"), hashing.pixel_sha256(F.col("mode"), F.col("width"), F.col("height"), F.col("pixels")))
     )
     path = F.url_decode(F.replace(plain(F.col("uri")), F.lit("+"), F.lit("%2B")))
     joined = files.withColumn("_path", path).join(hashed, F.col("_path") == F.col("_origin"), "left").drop("_path", "_origin", "uri")

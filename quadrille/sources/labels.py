@@ -74,7 +74,7 @@ def write_labels(labels: DataFrame, path: str, overwrite: bool = False, compress
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Labels with the fixed schema; nothing is inferred."""
-    return spark.read.schema(LABEL).parquet(path)
+    return spark.read.schema(LABEL).parquet(path).select(*LABEL.fieldNames())
 
 
 def metadata_field(name: str):
