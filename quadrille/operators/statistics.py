@@ -173,23 +173,26 @@ def distances(df: DataFrame, split: str, value: str, pairs: list[tuple[str, str]
     )
     whole = Window.partitionBy("first_split", "second_split")
     w = whole.orderBy("v")
+    share_of = lambda n: F.try_divide(F.sum(n).over(w), F.sum(n).over(whole))
     steps = grouped.select(
         "first_split",
         "second_split",
         "v",
         "na",
         "nb",
-        (F.sum("na").over(w) / F.sum("na").over(whole) - F.sum("nb").over(w) / F.sum("nb").over(whole)).alias("gap"),
+        (share_of("na") - share_of("nb")).alias("gap"),
         (F.lead("v").over(w) - F.col("v")).alias("width"),
     )
-    mean = lambda n: F.sum(F.col("v") * F.col(n)) / F.sum(n)
-    return steps.groupBy("first_split", "second_split").agg(
+    mean = lambda n: F.try_divide(F.sum(F.col("v") * F.col(n)), F.sum(n))
+    out = steps.groupBy("first_split", "second_split").agg(
         F.sum("na").alias("first_count"),
         F.sum("nb").alias("second_count"),
         F.max(F.abs("gap")).alias("ks_statistic"),
         F.sum(F.abs("gap") * F.coalesce("width", F.lit(0.0))).alias("wasserstein"),
         (mean("na") - mean("nb")).alias("mean_difference"),
     )
+    # A split without values has no distance to another.
+    return out.where("first_count > 0 and second_count > 0")
 
 
 def ks_p_value(statistic: float, n: int, m: int) -> float:
