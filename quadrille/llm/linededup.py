@@ -131,3 +131,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(shown, ","), 256).alias("removed_sha256"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP3_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i,
+             len(string_split(text, chr(10))) as n from d),
+u as (select doc_id, i, case when i < n then line || chr(10) else line end as unit from l where i < n or line <> ''),
+p as (select *, cast(sum(length(unit)) over (partition by doc_id order by i) as bigint) as stop,
+             translate(trim(regexp_replace(unit, '\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from u),
+r as (select *, stop - length(unit) as start, length(norm) >= 20 and row_number() over (partition by norm order by doc_id, i) > 1 as gone from p)
+select d.doc_id, length(any_value(d.text)) as n_chars, count_if(coalesce(gone, false)) as n_removed,
+       cast(coalesce(sum(length(unit)) filter (where gone), 0) as bigint) as chars_removed,
+       sha256(coalesce(string_agg(start || ':' || stop, ',' order by i) filter (where gone), '')) as removed_sha256,
+       sha256(coalesce(string_agg(unit, '' order by i) filter (where not gone), '')) as kept_sha256
+from d left join r using (doc_id) group by d.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_bm25": bm25.OP5_SQL, "op8_chat_format": chat.OP8_SQL}
+    return {"op3_line_dedup": linededup.OP3_SQL, "op5_bm25": bm25.OP5_SQL, "op8_chat_format": chat.OP8_SQL}
