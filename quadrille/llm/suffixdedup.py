@@ -216,15 +216,15 @@ def _cut_out(length: int):
     """The bytes of the contexts that are asked for, from their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "doc", "tie", "first", "anchor", "lone", "data"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        names = ["block", "doc", "tie", "first", "anchor", "lone", "variants", "data"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
         for batch in batches:
             rows = []
             for d, t, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for a in asked:
                     piece = data[a["first"] : a["last"] + length]
-                    rows.append((a["block"], d, t, a["first"], a["anchor"] - a["first"], a["lone"], piece))
+                    rows.append((a["block"], d, t, a["first"], a["anchor"] - a["first"], a["lone"], a["variants"], piece))
             yield _arrow(rows, names, kinds)
 
     return run
@@ -316,18 +316,19 @@ def repeated_bytes(
         .agg(F.collect_set(F.struct("block", "first", "last", "anchor", "lone", "variants")).alias("asked"))
     )
     joined = _of_docs(docs, asked, "inner")
-    pieces = "block bigint, doc bigint, tie bigint, first int, anchor int, lone boolean, data binary"
-
-    def cut_out(condition: str) -> DataFrame:
-        some = joined.withColumn("asked", F.expr(f"filter(asked, a -> a.variants {condition})")).where("size(asked) > 0")
-        return some.select(*key, "text", "asked").mapInArrow(_cut_out(length), pieces)
-
+    # Written once: texts are shuffled for it, and both ways below read it.
+    pieces = stored(
+        joined.select(*key, "text", "asked").mapInArrow(
+            _cut_out(length),
+            "block bigint, doc bigint, tie bigint, first int, anchor int, lone boolean, variants bigint, data binary",
+        )
+    )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut_out(f"<= {block_contexts}").repartition(n, "block").sortWithinPartitions("block")
+    dealt = pieces.where(F.col("variants") <= block_contexts).drop("variants").repartition(n, "block").sortWithinPartitions("block")
     part = dealt.mapInArrow(_sort_blocks(length, SORT_BYTES), "doc bigint, tie bigint, start int, stop int")
     spans = full.unionByName(part)
     if not marked.where(F.col("variants") > block_contexts).isEmpty():
-        windows = cut_out(f"> {block_contexts}").mapInArrow(
+        windows = pieces.where(F.col("variants") > block_contexts).drop("variants").mapInArrow(
             _window_digests(length), "w1 bigint, w2 bigint, doc bigint, tie bigint, start int, lone boolean"
         )
         windows = stored(windows)
