@@ -1,7 +1,9 @@
 """Removal of repeated lines by the digests of normalised units.
 
-A text is cut into units (lines, or paragraphs); a unit's normal form has its
-white space closed up, ASCII letters in lower case, and no edges. Digests of
+A text is cut into units (lines, paragraphs, or the sentences of lines, which
+catch a passage set into the middle of a line); units of several kinds may be
+asked for at once, each kind with digests of its own. A unit's normal form has
+its white space closed up, ASCII letters in lower case, and no edges. Digests of
 the normal forms are grouped over all documents; the occurrence first in rank
 (smallest document id, then position) stays, every later one goes, in the same
 document too. Offsets are those of the original text.
@@ -11,8 +13,8 @@ the first occurrence on the map side, and come back through a join in which
 hot digests are salted. Texts are shuffled once, to the spans of their own
 document.
 
-Defined cases: a null text is empty; units shorter than ``LEAST`` characters
-in normal form are never removed (blank lines, headings); rows that repeat a
+Defined cases: a null text is empty; units shorter than the least length of
+their kind in normal form are never removed (blank lines, headings); rows that repeat a
 document id are told apart by a hash of their text, and equal rows are the
 same document, which keeps what the first of them keeps; an empty table gives
 an empty result.
@@ -29,29 +31,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import cut, hot_keys, lookup, short_batches, table, whole_text
+from quadrille.llm.common import cut, hot_keys, lookup, short_batches, stored, table, whole_text
 
-#: Characters that a unit's normal form has at least, to be removed.
-LEAST = 20
-#: What parts units: lines, or paragraphs.
-LINES, PARAGRAPHS = "\n", "\n\n"
+#: What ends units: the patterns of lines, paragraphs and sentences.
+LINES, PARAGRAPHS, SENTENCES = r"\n", r"\n\n", r"[.!?]\s+|\n"
+#: Characters that a unit's normal form has at least, to be removed: of a line, and of a sentence.
+LEAST, LEAST_SENTENCE = 20, 40
 
 
 def units(text: str, by: str = LINES) -> Iterator[tuple[int, int]]:
     """(start, stop) of each unit, the separator after it included, in code points."""
     at = 0
-    while at < len(text):
-        end = text.find(by, at)
-        end = len(text) if end < 0 else end + len(by)
-        yield at, end
-        at = end
+    for m in re.finditer(by, text):
+        yield at, m.end()
+        at = m.end()
+    if at < len(text):
+        yield at, len(text)
 
 
 def normal(unit: str) -> str:
     return re.sub(r"[A-Z]+", lambda m: m[0].lower(), " ".join(unit.split()))
 
 
-def unit_digests(docs: DataFrame, by: str = LINES, least: int = LEAST) -> DataFrame:
+def unit_digests(docs: DataFrame, kinds: tuple[tuple[str, int], ...]) -> DataFrame:
     """(doc, tie, start, stop, digest) of the units long enough; digest has 128 bits."""
     short_batches(docs.sparkSession)
 
@@ -60,15 +62,16 @@ def unit_digests(docs: DataFrame, by: str = LINES, least: int = LEAST) -> DataFr
             cols: list[list] = [[], [], [], [], []]
             ids, ties, texts = (batch.column(k).to_pylist() for k in range(3))
             for d, t, text in zip(ids, ties, texts, strict=True):
-                for a, b in units(text, by):
-                    unit = normal(text[a:b])
-                    if len(unit) >= least:
-                        digest = hashlib.md5(unit.encode("utf-8", "surrogatepass")).digest()
-                        for c, v in zip(cols, (d, t, a, b, digest), strict=True):
-                            c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                for k, (by, least) in enumerate(kinds):
+                    for a, b in units(text, by):
+                        unit = normal(text[a:b])
+                        if len(unit) >= least:
+                            digest = hashlib.md5(b"%d " % k + unit.encode("utf-8", "surrogatepass")).digest()
+                            for c, v in zip(cols, (d, t, a, b, digest), strict=True):
+                                c.append(v)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                [pa.array(c, k) for c, k in zip(cols, types, strict=True)],
                 names=["doc", "tie", "start", "stop", "digest"],
             )
 
@@ -77,11 +80,17 @@ def unit_digests(docs: DataFrame, by: str = LINES, least: int = LEAST) -> DataFr
     )
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: str = LINES, least: int = LEAST) -> DataFrame:
-    """(``doc_id``, ``text``, ``removed``): whole texts and the spans to leave out."""
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kinds: tuple[tuple[str, int], ...] = ((LINES, LEAST),)
+) -> DataFrame:
+    """(``doc_id``, ``text``, ``removed``): whole texts and the units to leave out, by start.
+
+    ``kinds``: pairs of what ends a unit and the least length of its normal
+    form. Units of different kinds may overlap.
+    """
     whole = whole_text(text)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
-    found = cut(unit_digests(docs, by, least))
+    found = stored(unit_digests(docs, kinds))
     place = F.struct(F.col("doc").alias("doc"), F.col("tie").alias("tie"), F.col("start").alias("start"))
     groups = cut(
         found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -100,28 +109,44 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def kept_texts(found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``doc_id``, ``text``, ``removed``, ``kept``) from the result of :func:`remove_repeats`."""
+    """(``doc_id``, ``text``, ``removed``, ``kept``) from the result of :func:`remove_repeats`.
+
+    ``removed`` now has the maximal removed spans.
+    """
     short_batches(found.sparkSession)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
+            kept, removed = [], []
             for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts, at = [], 0
+                runs: list[dict] = []
                 for s in spans or ():
-                    parts.append(t[at : s["start"]])
-                    at = s["stop"]
-                kept.append("".join([*parts, t[at:]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.string())], names=[*batch.schema.names, "kept"])
+                    if runs and s["start"] <= runs[-1]["stop"]:
+                        runs[-1]["stop"] = max(runs[-1]["stop"], s["stop"])
+                    else:
+                        runs.append(dict(s))
+                edges = [0, *(x for r in runs for x in (r["start"], r["stop"])), len(t)]
+                kept.append("".join([t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+                removed.append(runs)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(removed, span), pa.array(kept, pa.string())],
+                names=[doc_id, text, "removed", "kept"],
+            )
+
+    spans = T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))
+    shape = T.StructType().add(doc_id, "long").add(text, "string").add("removed", spans).add("kept", "string")
+    return found.select(doc_id, text, "removed").mapInArrow(run, shape)
+
 
-    found = found.select(doc_id, text, "removed")
-    return found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("kept", T.StringType())]))
+#: What the query removes: repeated lines, and repeated sentences of lines.
+KINDS = ((LINES, LEAST), (SENTENCES, LEAST_SENTENCE))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier place holds."""
-    found = kept_texts(remove_repeats(table(spark, sf_dir, "documents")))
-    spans = F.coalesce("removed", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    """Every document without the lines and sentences that an earlier place holds."""
+    found = kept_texts(remove_repeats(table(spark, sf_dir, "documents"), kinds=KINDS))
+    spans = F.col("removed")
     shown = F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string")))
     return found.select(
         "doc_id",
@@ -135,15 +160,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
-l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i,
-             len(string_split(text, chr(10))) as n from d),
-u as (select doc_id, i, case when i < n then line || chr(10) else line end as unit from l where i < n or line <> ''),
-p as (select *, cast(sum(length(unit)) over (partition by doc_id order by i) as bigint) as stop,
-             translate(trim(regexp_replace(unit, '\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from u),
-r as (select *, stop - length(unit) as start, length(norm) >= 20 and row_number() over (partition by norm order by doc_id, i) > 1 as gone from p)
-select d.doc_id, length(any_value(d.text)) as n_chars, count_if(coalesce(gone, false)) as n_removed,
-       cast(coalesce(sum(length(unit)) filter (where gone), 0) as bigint) as chars_removed,
-       sha256(coalesce(string_agg(start || ':' || stop, ',' order by i) filter (where gone), '')) as removed_sha256,
-       sha256(coalesce(string_agg(unit, '' order by i) filter (where not gone), '')) as kept_sha256
-from d left join r using (doc_id) group by d.doc_id
+c as (select doc_id, 0 as kind, 20 as least, string_split(regexp_replace(text, '(\n)', '\1' || chr(1), 'g'), chr(1)) as a from d
+      union all select doc_id, 1, 40, string_split(regexp_replace(text, '([.!?]\s+|\n)', '\1' || chr(1), 'g'), chr(1)) from d),
+u as (select doc_id, kind, least, unnest(a) as unit, generate_subscripts(a, 1) as i from c),
+p as (select *, cast(sum(length(unit)) over (partition by doc_id, kind order by i) as bigint) as stop,
+             translate(trim(regexp_replace(unit, '\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from u where unit <> ''),
+r as (select doc_id, stop - length(unit) as start, stop, length(norm) >= least and row_number() over (partition by kind, norm order by doc_id, i) > 1 as gone from p),
+g as (select doc_id, start, stop, max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding) as before from r where gone),
+h as (select *, sum(case when before is null or start > before then 1 else 0 end) over (partition by doc_id order by start, stop rows unbounded preceding) as run from g),
+m as (select doc_id, run, min(start) as start, max(stop) as stop from h group by all),
+k as (select *, coalesce(lag(stop) over (partition by doc_id order by start), 0) as since from m),
+s as (select doc_id, count(*) as n, cast(sum(stop - start) as bigint) as chars, string_agg(start || ':' || stop, ',' order by start) as shown,
+             string_agg(substr(text, cast(since as bigint) + 1, cast(start - since as bigint)), '' order by start) as head, max(stop) as last from k join d using (doc_id) group by doc_id)
+select d.doc_id, length(text) as n_chars, coalesce(n, 0) as n_removed, coalesce(chars, 0) as chars_removed, sha256(coalesce(shown, '')) as removed_sha256,
+       sha256(coalesce(head, '') || substr(text, cast(coalesce(last, 0) as bigint) + 1)) as kept_sha256
+from d left join s using (doc_id)
 """
