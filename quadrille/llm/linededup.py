@@ -166,7 +166,7 @@ u as (select doc_id, kind, least, unnest(a) as unit, generate_subscripts(a, 1) a
 p as (select *, cast(sum(length(unit)) over (partition by doc_id, kind order by i) as bigint) as stop,
              translate(trim(regexp_replace(unit, '\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from u where unit <> ''),
 r as (select doc_id, stop - length(unit) as start, stop, length(norm) >= least and row_number() over (partition by kind, norm order by doc_id, i) > 1 as gone from p),
-g as (select doc_id, start, stop, max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding) as before from r where gone),
+g as (select doc_id, start, stop, max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding) as before from (select distinct doc_id, start, stop from r where gone)),
 h as (select *, sum(case when before is null or start > before then 1 else 0 end) over (partition by doc_id order by start, stop rows unbounded preceding) as run from g),
 m as (select doc_id, run, min(start) as start, max(stop) as stop from h group by all),
 k as (select *, coalesce(lag(stop) over (partition by doc_id order by start), 0) as since from m),
