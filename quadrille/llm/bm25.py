@@ -3,10 +3,11 @@
 Documents are dealt to shards of a fixed number of documents. A shard builds
 an inverted index: postings in order of (term, document), cut into blocks of
 ``BLOCK`` documents, with the largest term weight of each (term, block). A
-query's bound for a block is the sum of its terms' block maxima. Blocks are
-scored from the highest bound down, and those whose bound is under the k-th
-best score so far are skipped with all their postings (block-max pruning), so
-the k best of a shard are exact. Document frequencies, the number of documents
+query's bound for a block is the sum of its terms' block maxima. The blocks
+with the highest bounds are scored first, and those whose bound is under the
+k-th best score so far are skipped with all their postings (block-max
+pruning), so the k best of a shard are exact. Where few blocks can be skipped,
+as for whole documents as queries, the terms' lists are read whole instead. Document frequencies, the number of documents
 and their mean length are those of the whole corpus, so the shards' results
 merge exactly.
 
@@ -39,8 +40,8 @@ from quadrille.llm.common import short_batches, stored, table, whole_text
 K1, B = 1.2, 0.75
 #: Documents of a shard, and of a block of postings.
 SHARD_DOCS, BLOCK = 20_000, 32
-#: Blocks scored at first; each further round scores twice as many.
-FIRST = 16
+#: Blocks scored at first, and the share of blocks left over which lists are read whole.
+FIRST, MANY = 16, 0.25
 #: Every ROW-th document id is a query; results of a query.
 QUERY_EVERY, TOP = 20, 10
 #: Terms counted before a task sends them on.
@@ -64,6 +65,7 @@ class Shard:
         self.mean, self.names = mean, {}
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.ids: list[int] = []
+        self.top: list[int] = []
 
     def add(self, doc_id: int, text: str) -> None:
         words = terms(text)
@@ -75,13 +77,19 @@ class Shard:
         weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / self.mean))
         self.parts.append((codes, np.full(n, len(self.ids), np.int32), weight))
         self.ids.append(doc_id)
+        self.top.append(int(codes[tf.argmax()]) if n else -1)
 
     def close(self) -> None:
         code, doc, weight = (
             (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
         )
         self.parts = []
-        order = np.argsort(code, kind="stable")
+        # Documents with one commonest term stand together, so blocks differ more in their bounds.
+        turned = np.argsort(np.array(self.top, np.int64), kind="stable")
+        place = np.empty(len(turned), np.int32)
+        place[turned] = np.arange(len(turned), dtype=np.int32)
+        doc = place[doc]
+        order = np.lexsort((doc, code))
         code, self.doc, self.weight = code[order], doc[order], weight[order]
         block = self.doc // BLOCK
         edge = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.zeros(0, np.int64)
@@ -94,7 +102,7 @@ class Shard:
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.names = {}
-        self.doc_ids = np.array(self.ids, np.int64)
+        self.doc_ids = np.array(self.ids, np.int64)[turned]
         self.blocks = len(self.ids) // BLOCK + 1
 
     def search(self, query: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -113,31 +121,48 @@ class Shard:
         bound = np.bincount(of_entry, weight * self.most[entries], self.blocks) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, done, step = np.zeros(0, [("s", "f8"), ("d", "i8")]), 0, FIRST
-        while done < len(order):
-            least = -best["s"][k - 1] if len(best) >= k else 0.0
-            part = order[done : done + step]
-            part = part[bound[part] >= least]
-            if not len(part):
-                break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[part] = True
-            some = wanted[of_entry]
-            e, w = entries[some], weight[some]
-            n = self.first[e + 1] - self.first[e]
-            posts = _ranges(self.first[e], self.first[e + 1])
-            place = np.zeros(self.blocks, np.int64)
-            place[part] = np.arange(len(part)) * BLOCK
-            docs = self.doc[posts]
-            local = place[docs // BLOCK] + docs % BLOCK
-            score = np.bincount(local, np.repeat(w, n) * self.weight[posts], len(part) * BLOCK)
-            hit = np.flatnonzero(score > 0)
-            new = np.zeros(len(hit), best.dtype)
-            new["s"] = -score[hit]
-            new["d"] = self.doc_ids[part[hit // BLOCK] * BLOCK + hit % BLOCK]
-            best = np.sort(np.concatenate([best, new]))[:k]
-            done, step = done + step, step * 2
-        return [(-float(s), int(d)) for s, d in best]
+        scores, ids = self._score(order[:FIRST], entries, of_entry, weight)
+        scores, ids = _best(scores, ids, k)
+        least = scores[k - 1] if len(scores) >= k else 0.0
+        rest = order[FIRST:]
+        rest = rest[bound[rest] >= least]
+        if not len(rest):
+            return list(zip(scores.tolist(), ids.tolist(), strict=True))
+        if len(rest) > self.blocks * MANY:
+            # Few blocks can be skipped: whole lists are read faster than picked blocks.
+            a, b = self.first[lo], self.first[hi]
+            posts = _ranges(a, b)
+            full = np.bincount(self.doc[posts], np.repeat(idf, b - a) * self.weight[posts], len(self.doc_ids))
+            full[full < least] = 0
+            hit = np.flatnonzero(full)
+            scores, ids = full[hit], self.doc_ids[hit]
+        else:
+            more, more_ids = self._score(rest, entries, of_entry, weight)
+            scores, ids = np.concatenate([scores, more]), np.concatenate([ids, more_ids])
+        scores, ids = _best(scores, ids, k)
+        return list(zip(scores.tolist(), ids.tolist(), strict=True))
+
+    def _score(self, part: np.ndarray, entries: np.ndarray, of_entry: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the documents of the blocks ``part``."""
+        place = np.full(self.blocks, -1, np.int64)
+        place[part] = np.arange(len(part)) * BLOCK
+        some = place[of_entry] >= 0
+        e, w = entries[some], weight[some]
+        n = self.first[e + 1] - self.first[e]
+        posts = _ranges(self.first[e], self.first[e + 1])
+        docs = self.doc[posts]
+        score = np.bincount(place[docs // BLOCK] + docs % BLOCK, np.repeat(w, n) * self.weight[posts], len(part) * BLOCK)
+        hit = np.flatnonzero(score > 0)
+        return score[hit], self.doc_ids[part[hit // BLOCK] * BLOCK + hit % BLOCK]
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, equal scores by id."""
+    if len(scores) > k:
+        kept = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        scores, ids = scores[kept], ids[kept]
+    order = np.lexsort((ids, -scores))[:k]
+    return scores[order], ids[order]
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -147,7 +172,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df) of a task's documents, in parts; term 0 with df < 0 carries lengths."""
+    """(term, df) of a task's documents, in parts."""
 
     def out(counts: Counter) -> pa.RecordBatch:
         keys = np.fromiter(map(_hash, counts), np.int64, len(counts))
@@ -164,12 +189,6 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(counts)
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [len(terms(t)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["n", "words"])
-
-
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [sorted(map(_hash, set(terms(t)))) for t in batch.column(1).to_pylist()]
@@ -215,7 +234,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_docs: int = S
     short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), whole_text().alias("text"))
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), whole_text().alias("text"))
-    size = docs.select("text").mapInArrow(_lengths, "n bigint, words bigint").agg(F.sum("n"), F.sum("words")).first()
+    # The same words as terms() finds.
+    size = docs.agg(F.count("*"), F.sum(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")))).first()
     n, words = size[0] or 0, size[1] or 0
     mean = words / n if words else 1.0
     # Document frequencies of the queries' terms, back to the queries.
