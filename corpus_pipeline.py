@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, mixing, secrets, simhash, toxicity
+from quadrille.llm import bpe, mixing, nearcopies, secrets, toxicity
 from quadrille.llm.common import shared_folder, table
 
 
@@ -27,14 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component.
+    """The document with the smallest id of each component of near copies.
 
-    Rows that repeat a kept id are copies too; one of them stays.
+    Near copies have a Jaccard likeness of 0.8 or more over 5-word shingles.
     """
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return nearcopies.without_near_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
