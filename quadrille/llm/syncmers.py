@@ -4,7 +4,7 @@ The symbols are words. Of each run of ``K`` words, the hashes of its inner
 runs of ``S`` words are compared; the run is an anchor if the smallest of them
 stands at either edge. Whether a run is chosen depends on its own words only,
 so equal passages have equal anchors wherever they stand. A text of fewer than
-``K`` words has one anchor, the whole of it.
+``K`` words, or one in which no run is chosen, has one anchor, the whole of it.
 
 The fingerprint is the ``SKETCH`` smallest distinct anchor hashes (all of them
 if there are fewer), in order, as hexadecimal cells. The likeness of two
@@ -49,7 +49,8 @@ def _anchored(text: Column, anchor: Callable[[Column, Column], Column]) -> Colum
             edge = lambda i: F.least(F.get(b, i), F.get(b, i + cells))
             between = lambda i: [F.get(b, i + j) for j in range(1, cells)]
             at = F.filter(F.sequence(F.lit(0), F.size(h) - K), lambda i: edge(i) <= F.least(*between(i)))
-            return F.transform(at, lambda i: anchor(F.xxhash64(*[F.get(h, i + j) for j in range(K)]), i))
+            runs = lambda a: F.transform(a, lambda i: anchor(F.xxhash64(*[F.get(h, i + j) for j in range(K)]), i))
+            return _let(at, lambda a: F.when(F.size(a) > 0, runs(a)).otherwise(whole))
 
         whole = F.array(anchor(F.xxhash64(h), F.lit(0)))
         return F.when(F.size(h) >= K, _let(inner, of_inner)).otherwise(whole)

@@ -90,3 +90,13 @@ def test_odd_rows_and_many_ranges(spark, monkeypatch):
     got = {r.doc_id: int(r.next_text) for r in sm.with_next(many, "doc_id", ["text"]).collect()}
     down = sorted(ids, reverse=True)
     assert got == dict(zip(down, down[1:] + down[:1], strict=True))
+
+
+def test_texts_without_syncmers_have_fingerprints_of_their_own(spark):
+    texts = [f"alpha{k} beta{k} gamma{k} delta{k} epsilon{k}" for k in range(60)]
+    bare = [t for t, found in zip(texts, slow_anchors(spark, texts), strict=True) if not found]
+    assert len(bare) > 1
+    df = spark.createDataFrame([(a, b) for a in bare for b in bare], "a string, b string")
+    fa, fb = sm.fingerprint(F.col("a")), sm.fingerprint(F.col("b"))
+    for r in df.select("a", "b", fa.alias("fa"), sm.likeness(fa, fb).alias("near")).collect():
+        assert len(r.fa) == 8 and r.near == (r.a == r.b)
