@@ -275,10 +275,15 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(``doc_id``, ``fp``, ``component_id``): the smallest id of the document's component."""
     prints = cut(fingerprints(docs, doc_id, text))
-    distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("node"), F.count("*").alias("n")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count("*").alias("n")))
     total = distinct.agg(F.sum("n")).first()[0] or 0
-    roots = components(trie_links(distinct.select("fp", "node")))
-    placed = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    # A node is named by its fingerprint, as ids may be null or stand with several fingerprints.
+    roots = components(trie_links(distinct.select("fp", F.col("fp").alias("node"))))
+    rooted = cut(
+        distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    )
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    placed = lookup(rooted, named.drop("n"), "root", hot_keys(named, "root", "n", total)).select("fp", "component_id")
     return lookup(prints, placed, "fp", hot_keys(distinct, "fp", "n", total)).select(doc_id, "fp", "component_id")
 
 

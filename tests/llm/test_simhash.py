@@ -85,3 +85,18 @@ def test_nulls_ties_empty_table_and_extra_columns(spark):
     assert [g[0] for g in got] == [0, 2, 2, 3, 9]
     assert [g[2] for g in got[1:4]] == [2, 2, 2] and got[0][2] == got[4][2] == 9
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_null_and_repeated_ids_in_links(spark):
+    base = [f"w{k}" for k in range(200)]
+    near = " ".join([*base[:199], "other"])
+    rows = [(None, " ".join(base), "en", "s", 0), (None, near, "en", "s", 0), (4, "p q r s", "en", "s", 0), (4, "k l m n", "en", "s", 0), (2, "k l m n", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = {}
+    prints = [(i, slow_print(t)) for i, t, *_ in rows]
+    for p, least in {(p, min((i for i, q in prints if q == p and i is not None), default=None)) for _, p in prints}:
+        linked = [i for i, q in prints if i is not None and (p ^ q).bit_count() <= 2]
+        want[p] = min(linked, default=least)
+    got = {int(r.fp) % 2**64: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert got == want
+    assert want[slow_print("p q r s")] == 4 and want[slow_print("k l m n")] == 2
