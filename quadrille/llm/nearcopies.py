@@ -12,8 +12,8 @@ whole sets, so no link rests on a sketch.
 Documents with equal sets are one node. A band's nodes are first compared with
 its smallest node only; once the links found have been made into components,
 those pairs of a band that are still in different components are compared
-too. A large group of near copies so needs few comparisons, and none that
-could join two components is left out.
+too. None that could join two components is left out, so a large group that is
+alike in part only needs comparisons with the square of its size.
 
 Intermediate tables are Parquet: a checkpoint would hand on the constraints of
 its plan, and planning the components would take longer each step.
