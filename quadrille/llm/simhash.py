@@ -1,26 +1,34 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 A document's fingerprint has 64 bits; two fingerprints that differ in at most
-``BUDGET`` bits are linked, and linked documents form a component.
-
-The trie of the distinct fingerprints is joined with itself: pairs of nodes of
-one depth are traversed together, each step adds the bits in which the two
-differ, and a pair whose sum exceeds the budget is pruned with all below it.
-
-How it is dealt out: with two differing bits at most, two of the four 16-bit
-blocks are equal. For each choice of two blocks the trie is built with these
-first; its upper 32 levels then cost nothing, so a node at depth 32 is only
-joined with itself and is a unit of work. A unit over ``UNIT`` fingerprints is
-split by the traversal itself: one more step of 8 levels, each fingerprint
-going to the node pairs within the budget, until units are small. Inside a
-unit the traversal runs on arrays, level by level, in pieces of bounded size.
-Links leave a unit as stars (one row for each fingerprint), never as all
-pairs, and are made into components by alternating large-star and small-star
-steps; hot hubs are salted.
+``budget`` bits are linked, and linked documents form a component.
+
+The trie of the distinct fingerprints is joined with itself from its root:
+pairs of nodes of one depth are traversed together, each step adds the bit in
+which the two may differ, and a pair whose sum exceeds the budget is pruned
+with all below it. A pair of leaves adds what is left of its bits at once.
+
+How it is dealt out: the pairs of nodes at a shallow depth that are within the
+budget are the units of work; a node is there with itself and with the few
+nodes that differ from it in ``budget`` bits at most. The depth follows from
+the number of fingerprints, and a unit of over ``UNIT`` fingerprints (a part
+of the trie that is fuller than the rest) is taken ``STEP`` levels further
+down, until units are small. Inside a unit the traversal runs on arrays, level
+by level, in pieces of bounded size. Links leave a unit as stars (one row for
+each fingerprint), never as all pairs, and are made into components by
+alternating large-star and small-star steps; hot hubs are salted.
+
+Work grows with the pairs of nodes within the budget: for n fingerprints some
+n times the ways to choose ``budget`` of log2(n) bits. Larger budgets are
+right too, and cost accordingly.
 
 Defined cases: a null text is empty; a text without words has fingerprint 0
 and is linked like any other; repeated rows have equal fingerprints and so the
-same component; very long texts are read in blocks of words.
+same component; a null id is never the smallest of its component unless all
+its ids are null, and then the component's id is null; ids that stand with
+several texts keep a row for each; very long texts are read in blocks of words;
+an empty table gives an empty result; only the id and the text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -40,10 +48,10 @@ from quadrille.llm.common import cut, hot_keys, lookup, short_batches, table, wh
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Words hashed at once.
 BLOCK = 1 << 16
-#: Fingerprints of a unit of work, and levels of one split.
-UNIT, STEP = 4096, 8
+#: Fingerprints of a unit of work, levels of one split, and levels of the first.
+UNIT, STEP, FIRST_STEP = 1 << 14, 4, 12
 #: Node pairs, and rows, that a task handles at once.
-PAIRS, ROWS = 1 << 19, 1 << 17
+PAIRS, ROWS = 1 << 17, 1 << 16
 
 
 def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -65,13 +73,13 @@ def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(``doc_id``, ``fp``): the fingerprint as a signed 64-bit integer."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
+            fp = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[doc_id, "fp"])
 
     return docs.select(F.col(doc_id).cast("bigint").alias(doc_id), whole_text(text).alias(text)).mapInArrow(
@@ -79,11 +87,14 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def _join(prints: np.ndarray, roots: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _join(
+    prints: np.ndarray, roots: np.ndarray, depth: int, budget: int, tally: dict[str, int] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of linked prints.
 
-    ``prints``: the lower 32 bits of permuted fingerprints, sorted inside each
-    root. ``roots``: rows (a0, a1, b0, b1), ranges of the two nodes.
+    ``prints``: fingerprints, sorted inside each root. ``roots``: rows (a0, a1,
+    b0, b1, used) of node pairs at ``depth``: their ranges and the bits in which
+    the nodes differ. ``tally`` counts pairs of nodes by what became of them.
     """
     zeros: dict[int, np.ndarray] = {}
 
@@ -94,27 +105,30 @@ def _join(prints: np.ndarray, roots: np.ndarray, budget: int) -> Iterator[tuple[
             zeros[bit] = z
         return lo + zeros[bit][hi] - zeros[bit][lo]
 
-    stack = [(31, np.concatenate([roots, np.zeros((len(roots), 1), roots.dtype)], axis=1))]
+    def count(what: str, n: int) -> None:
+        if tally is not None:
+            tally[what] = tally.get(what, 0) + n
+
+    stack = [(63 - depth, roots.astype(np.int32))]
     while stack:
         bit, pairs = stack.pop()
         if len(pairs) > PAIRS:
             stack += [(bit, pairs[k : k + PAIRS]) for k in range(0, len(pairs), PAIRS)]
             continue
         a0, a1, b0, b1, used = pairs.T
-        # Small pairs of nodes are compared outright; below the last level all are equal.
-        room = (a1 - a0) * (b1 - b0)
-        done = (room <= 16) | (bit < 0)
-        if done.any():
-            na, nb = (a1 - a0)[done], (b1 - b0)[done]
-            k = np.repeat(np.arange(len(na)), na * nb)
-            r = np.arange(len(k)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
-            i, j = a0[done][k] + r // nb[k], b0[done][k] + r % nb[k]
-            near = (np.bitwise_count(prints[i] ^ prints[j]) <= budget) & (i != j)
+        # Two leaves: the bits below are added at once. Prints are distinct, so bits last until then.
+        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        if leaf.any():
+            i, j = a0[leaf], b0[leaf]
+            count("leaves", len(i))
+            # The bits above this level are those in ``used``.
+            below = np.uint64((1 << (bit + 1)) - 1)
+            near = (np.bitwise_count((prints[i] ^ prints[j]) & below) + used[leaf] <= budget) & (i != j)
             yield i[near], j[near]
-            pairs = pairs[~done]
-            a0, a1, b0, b1, used = pairs.T
-        if not len(pairs):
+            a0, a1, b0, b1, used = pairs[~leaf].T
+        if not len(a0):
             continue
+        count("visited", len(a0))
         am, bm = split(bit, a0, a1), split(bit, b0, b1)
         own = a0 == b0
         more = used + 1
@@ -125,7 +139,11 @@ def _join(prints: np.ndarray, roots: np.ndarray, budget: int) -> Iterator[tuple[
             np.stack([am, a1, b0, bm, more], 1)[~own],
         ]
         c = np.concatenate(children)
-        c = c[(c[:, 4] <= budget) & (c[:, 0] < c[:, 1]) & (c[:, 2] < c[:, 3])]
+        c = c[(c[:, 0] < c[:, 1]) & (c[:, 2] < c[:, 3])]
+        within = c[:, 4] <= budget
+        count("pruned", int((~within).sum()))
+        c = c[within]
+        # A leaf has no pair with itself.
         c = c[(c[:, 0] != c[:, 2]) | (c[:, 1] - c[:, 0] > 1)]
         if len(c):
             stack.append((bit - 1, c))
@@ -144,32 +162,34 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 def _unit_links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """Star-shaped links of the units in a partition sorted by unit."""
-    names = ["choice", "ka", "kb", "p", "node"]
+    names = ["depth", "ka", "kb", "fp", "node"]
 
     def links(c: list[np.ndarray]) -> pa.RecordBatch:
-        choice, ka, kb, p, node = c
-        unit = np.flatnonzero(
-            np.concatenate([[True], (choice[1:] != choice[:-1]) | (ka[1:] != ka[:-1]) | (kb[1:] != kb[:-1])])
-        )
-        group = np.zeros(len(p), np.int64)
+        depth, ka, kb, fp, node = c
+        new = (depth[1:] != depth[:-1]) | (ka[1:] != ka[:-1]) | (kb[1:] != kb[:-1])
+        unit = np.flatnonzero(np.concatenate([[True], new]))
+        group = np.zeros(len(fp), np.int64)
         group[unit[1:]] = 1
         group = np.cumsum(group)
-        q = p.view(np.uint64)
+        q = fp.view(np.uint64)
         order = np.lexsort((q, group))
         q, group, node = q[order], group[order], node[order]
-        low = q & np.uint64(0xFFFFFFFF)
-        lo, hi = unit, np.append(unit[1:], len(p))
-        cross = ka[unit] != kb[unit]
-        roots = [np.stack([lo, hi, lo, hi], 1)[~cross]]
-        for a, b in zip(lo[cross].tolist(), hi[cross].tolist(), strict=True):
-            # The two nodes of a split unit: prints in order, the first differing bit from the top parts them.
-            top = int(q[a] ^ q[b - 1]).bit_length()
-            if top:
-                middle = a + int(np.searchsorted(q[a:b] >> np.uint64(top - 1), q[b - 1] >> np.uint64(top - 1)))
-                roots.append(np.array([[a, middle, middle, b]]))
+        lo, hi = unit, np.append(unit[1:], len(fp))
         label = np.arange(len(q))
-        for i, j in _join(low, np.concatenate(roots), budget):
-            _hook(label, i, j)
+        for d in np.unique(depth[unit]).tolist():
+            at = depth[unit] == d
+            a, b = lo[at], hi[at]
+            # Where the second node of a unit of two begins.
+            second = np.zeros(len(q), np.int64)
+            np.cumsum((q >> np.uint64(64 - d)).view(np.int64) == ka[unit][group] if d else np.ones(len(q), bool), out=second)
+            firsts = second[b - 1] - np.where(a > 0, second[a - 1], 0)
+            cross = ka[unit][at] != kb[unit][at]
+            used = np.bitwise_count((ka[unit][at] ^ kb[unit][at]).view(np.uint64)).astype(np.int64)
+            middle = a + firsts
+            roots = np.stack([a, np.where(cross, middle, b), np.where(cross, middle, a), b, used], 1)
+            roots = roots[(roots[:, 0] < roots[:, 1]) & (roots[:, 2] < roots[:, 3]) & (b - a > 1)]
+            for i, j in _join(q, roots, d, budget):
+                _hook(label, i, j)
         out = np.flatnonzero(label != np.arange(len(q)))
         return pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(node[label[out]])], names=["u", "v"])
 
@@ -192,46 +212,45 @@ def trie_links(prints: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> Dat
 
     Not all pairs, but enough that linked prints are connected.
     """
-    if budget > 2:
-        raise ValueError("two of four blocks are equal only up to two differing bits")
     spark = prints.sparkSession
-    block = [F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    choices = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-    turned = []
-    for k, (i, j) in enumerate(choices):
-        p = F.lit(0).cast("bigint")
-        for b in (i, j, *(x for x in range(4) if x not in (i, j))):
-            p = F.shiftleft(p, 16).bitwiseOR(block[b])
-        turned.append(F.struct(F.lit(k).alias("choice"), p.alias("p")))
-    rows = prints.select("node", F.explode(F.array(*turned)).alias("t")).select(
-        F.col("t.choice").alias("choice"), F.col("t.p").alias("p"), "node"
-    )
-    rows = rows.withColumn("ka", F.shiftrightunsigned("p", 32)).withColumn("kb", F.col("ka"))
-    key = ["choice", "ka", "kb"]
-    settled = None
-    masks = [m for m in range(1 << STEP) if m.bit_count() <= budget]
-    for depth in range(32, 64, STEP):
-        large = cut(rows.groupBy(*key).count().where(F.col("count") > unit).drop("count"))
-        if large.isEmpty():
-            break
-        small = rows.join(large, key, "left_anti")
-        settled = small if settled is None else settled.unionByName(small)
+    n = prints.count()
+
+    def paired(rows: DataFrame, step: int) -> DataFrame:
+        """The rows in the pairs of nodes ``step`` levels below, within the budget."""
+        masks = [m for m in range(1 << step) if m.bit_count() <= budget]
         apart = F.col("ka").bitwiseXOR(F.col("kb"))
         near = F.filter(
             F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.bit_count(m) + F.bit_count(apart) <= budget
         )
-        x = F.shiftrightunsigned("p", 64 - depth - STEP)
-        y = x.bitwiseXOR(F.shiftleft(apart, STEP)).bitwiseXOR(F.col("m"))
-        rows = cut(
-            rows.join(large, key)
-            .withColumn("m", F.explode(near))
-            .withColumns({"ka": F.least(x, y), "kb": F.greatest(x, y)})
+        x = F.expr(f"shiftrightunsigned(fp, cast(64 - depth - {step} as int))")
+        y = x.bitwiseXOR(F.shiftleft(apart, step)).bitwiseXOR(F.col("m"))
+        return (
+            rows.withColumn("m", F.explode(near))
+            .withColumns({"ka": F.least(x, y), "kb": F.greatest(x, y), "depth": F.col("depth") + step})
             .drop("m")
         )
+
+    zero = F.lit(0).cast("bigint")
+    rows = prints.select(F.lit(0).alias("depth"), zero.alias("ka"), zero.alias("kb"), "fp", "node")
+    first = min(FIRST_STEP, max(0, -(-n // unit) - 1).bit_length())
+    if first:
+        rows = paired(rows, first)
+    key = ["ka", "kb"]
+    settled = None
+    for depth in range(first, 64 - STEP, STEP):
+        sizes = cut(rows.groupBy(*key).count().where(F.col("count") > unit))
+        if sizes.isEmpty():
+            break
+        # One unit has few node pairs below it, so the large ones are as many as the rows by ``unit`` at most.
+        large = sizes.drop("count")
+        small = rows.join(large, key, "left_anti")
+        settled = small if settled is None else settled.unionByName(small)
+        rows = cut(paired(rows.join(large, key), STEP))
     if settled is not None:
         rows = rows.unionByName(settled)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("choice", "ka", "kb", "p", "node").repartition(n, *key).sortWithinPartitions(*key)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["depth", "ka", "kb"]
+    dealt = rows.select(*key, "fp", "node").repartition(parts, *key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _unit_links(batches, budget)
@@ -272,13 +291,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET
+) -> DataFrame:
     """(``doc_id``, ``fp``, ``component_id``): the smallest id of the document's component."""
-    prints = cut(fingerprints(docs, doc_id, text))
+    prints = cut(fingerprints(docs, doc_id, text, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count("*").alias("n")))
     total = distinct.agg(F.sum("n")).first()[0] or 0
     # A node is named by its fingerprint, as ids may be null or stand with several fingerprints.
-    roots = components(trie_links(distinct.select("fp", F.col("fp").alias("node"))))
+    roots = components(trie_links(distinct.select("fp", F.col("fp").alias("node")), budget))
     rooted = cut(
         distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )

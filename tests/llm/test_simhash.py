@@ -68,13 +68,28 @@ def test_dense_group_is_split_and_linked(spark):
         prints.add(p)
     rows = list(enumerate(sorted(prints)))
     df = spark.createDataFrame([(i, int(np.uint64(p).astype(np.int64))) for i, p in rows], "node bigint, fp bigint")
-    want = slow_components(rows)
-    for unit in (16, 4096):
-        found = simhash.components(simhash.trie_links(df, unit=unit)).collect()
+    for unit, budget in ((16, 2), (300, 4)):
+        want = slow_components(rows, budget)
+        found = simhash.components(simhash.trie_links(df, budget, unit)).collect()
         root = {r.node: r.root for r in found}
         assert {(i, p): root.get(i, i) for i, p in rows} == want
 
 
+def test_the_traversal_prunes_on_documents(spark):
+    """Every link of the documents comes from pairs of nodes, most of which are pruned."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    prints = np.array([simhash.simhash(d.text or "") for d in docs], np.uint64)
+    prints = np.unique(np.concatenate([prints, prints[:20] ^ np.uint64(1 << 40), prints[5:30] ^ np.uint64(5)]))
+    n, tally = len(prints), {}
+    links = set()
+    for i, j in simhash._join(prints, np.array([[0, n, 0, n, 0]]), 0, 2, tally):
+        links |= {(min(x), max(x)) for x in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(i, j) for j in range(n) for i in range(j) if int(prints[i] ^ prints[j]).bit_count() <= 2}
+    assert links == want and want
+    assert tally["visited"] > 1000 and tally["pruned"] > 1000
+    assert tally["leaves"] < n * (n - 1) // 20
+
+
 def test_nulls_ties_empty_table_and_extra_columns(spark):
     rows = [(3, None, "", None, 0), (2, "", None, "s", 0), (2, "", None, "s", 0), (None, "a b c d", "en", "s", 7), (9, "a b c d", "en", "s", 7)]
     df = spark.createDataFrame(rows, DOCS)
