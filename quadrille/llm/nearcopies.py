@@ -1,19 +1,24 @@
 """Near copies: documents whose sets of word shingles have a Jaccard likeness of ``LIKENESS`` or more.
 
-Linked documents form a component, and the first of each stays. SimHash (see
-:mod:`quadrille.llm.simhash`) does not serve here: at a likeness of 0.8 two
-fingerprints differ in some ten bits of 64, too many for a trie join.
+Linked documents form a component, and the first of each stays.
 
-Candidates come from MinHash bands: ``BANDS`` bands of ``ROWS`` minima each.
-Two sets of likeness 0.8 share no band with a probability of
-``(1 - 0.8 ** 4) ** 32``, 5e-8. Every candidate is then held against the
-whole sets, so no link rests on a sketch.
+Candidates come from two sides. The trie self-join of
+:mod:`quadrille.llm.simhash` gives those whose fingerprints over the same
+shingles differ in a few bits. It does not reach down to a likeness of 0.8,
+where two fingerprints differ in some ten bits of 64, too many for a trie to
+prune; the others come from MinHash bands: ``BANDS`` bands of ``ROWS`` minima
+each, of which two sets of likeness 0.8 share none with a probability of
+``(1 - 0.8 ** 4) ** 32``, 5e-8. Every candidate is then held against the whole
+sets, so no link rests on a sketch.
 
 Documents with equal sets are one node. A band's nodes are first compared with
-its smallest node only; once the links found have been made into components,
-those pairs of a band that are still in different components are compared
-too. None that could join two components is left out, so a large group that is
-alike in part only needs comparisons with the square of its size.
+its smallest node, then, where the links found leave several components in the
+band, with its most central node (fewest shingles of its own). Of the pairs of
+a band that are still in different components, those are compared that could
+be alike at all: shingles that no other open node has are in no intersection,
+and the others, counted in ``CELLS`` cells by their hash, meet in the smaller
+count of each cell at most. Both are upper bounds of the intersection, so none
+that could join two components is left out.
 
 Intermediate tables are Parquet: a checkpoint would hand on the constraints of
 its plan, and planning the components would take longer each step.
@@ -22,7 +27,8 @@ Defined cases: words are parted by ASCII white space, ASCII letters in lower
 case; a text of fewer words than a shingle has one, the whole of it; a null
 text is empty, and texts without words are alike. Rows are told apart by a
 hash of all their columns, so ids may be null or repeated; of rows equal in
-all columns one stays.
+all columns one stays. An empty table gives an empty result; all columns come
+back as they were, whatever their names (a column named ``_row`` is refused).
 """
 
 from __future__ import annotations
@@ -36,14 +42,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import hot_keys, lookup, short_batches, stored, whole_text
-from quadrille.llm.simhash import components
+from quadrille.llm.simhash import components, simhash, trie_links
 
 #: Words of a shingle, and the least likeness of linked documents.
 SHINGLE, LIKENESS = 5, 0.8
 #: Bands of a document, and minima of a band.
 BANDS, ROWS = 32, 4
-#: Shingles whose minima are taken at once.
-BLOCK = 1 << 12
+#: Shingles whose minima are taken at once, and cells of the counts that bound an intersection.
+BLOCK, CELLS = 1 << 12, 64
+#: Bits in which the fingerprints of the first candidates may differ.
+BUDGET = 2
+#: Nodes of a band that one slice of its comparisons holds.
+SLICE = 256
 
 _RNG = np.random.default_rng(42)
 _TURN = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,20 +85,22 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row, node, n, bands) of (row, text): name and size of the set, and its bands."""
+    """(row, node, n, bands, fp) of (row, text): name and size of the set, its bands, and the SimHash."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            sets = [shingles(t, shingle) for t in texts]
+            prints = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
             names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                names=["row", "node", "n", "bands"],
+                 pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)],
+                names=["row", "node", "n", "bands", "fp"],
             )
 
-    return docs.mapInArrow(run, "row bigint, node bigint, n bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "row bigint, node bigint, n bigint, bands array<bigint>, fp bigint")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -119,6 +131,32 @@ def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     return joined(joined(pairs, "u"), "v").where(both >= whole * F.lit(likeness)).select("u", "v")
 
 
+def _bounds(sets: DataFrame, open_nodes: DataFrame) -> DataFrame:
+    """(node, common, cells) of the open nodes: what of each set another open node has too.
+
+    ``common`` is the number of those shingles, ``cells`` their counts by hash.
+    """
+    short_batches(sets.sparkSession)
+    near = sets.join(open_nodes, "node", "left_semi")
+    own = near.select("node", F.explode("set").alias("t")).groupBy("t").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    own = own.where("k = 1").groupBy("node").agg(F.collect_list("t").alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = []
+            for found, alone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                common = np.setdiff1d(np.array(found, np.int64), np.array(alone or [], np.int64))
+                cells.append(np.bincount(common & (CELLS - 1), minlength=CELLS).astype(np.int32))
+            common = pa.array([int(c.sum()) for c in cells], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), common, pa.array(cells, pa.list_(pa.int32()))], names=["node", "common", "cells"]
+            )
+
+    return near.join(own, "node", "left").select("node", "set", "own").mapInArrow(
+        run, "node bigint, common bigint, cells array<int>"
+    )
+
+
 def row_key(docs: DataFrame) -> Column:
     """A hash of all columns of a row, nulls included."""
     return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
@@ -134,7 +172,7 @@ def without_near_copies(
         F.col("_row").alias("row"), F.col(doc_id).cast("bigint").alias("id"), whole_text(text).alias("text")
     )
     sketches = stored(_sketches(named.select("row", "text"), shingle).dropDuplicates(["row"]))
-    nodes = stored(sketches.groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bands").alias("bands")))
+    nodes = stored(sketches.groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("fp").alias("fp")))
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     place = F.struct("node", "n")
     multi = stored(
@@ -147,34 +185,79 @@ def without_near_copies(
     def sizes_fit(a: str, b: str) -> Column:
         return F.least(a, b) >= F.greatest(a, b) * F.lit(likeness)
 
+    same = stored(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("k")))
+    first = trie_links(same.select("fp", F.col("least").alias("node")), BUDGET)
+    equal = same.where("k > 1")
+    hot_prints = hot_keys(equal, "fp", "k", equal.agg(F.sum("k")).first()[0] or 0)
+    first = first.unionByName(
+        lookup(nodes.select("fp", "node"), equal.drop("k"), "fp", hot_prints).select(F.col("least").alias("u"), F.col("node").alias("v"))
+    )
     stars = stored(
         members.where((F.col("node") != F.col("first.node")) & sizes_fit("n", "first.n"))
         .select(F.col("first.node").alias("u"), F.col("node").alias("v"))
+        .unionByName(first.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
         .distinct()
     )
-
-    # The whole sets of all nodes that any comparison can need.
-    needed = members.select("node").distinct().join(nodes.select("node", "row"), "node")
+    needed = members.select("node").unionByName(stars.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    # The whole sets of all nodes that any comparison can need; a node's text is any with its set.
+    needed = needed.join(nodes.select("node", "row"), "node")
     texts = named.select("row", "text").join(needed, "row").select("node", "text").dropDuplicates(["node"])
     sets = stored(_sets(texts, shingle))
     links = stored(_alike(stars, sets, likeness))
     roots = stored(components(links))
 
-    placed = members.select("band", "node", "n").join(roots, "node", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
-    several = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band")
-    left_open = stored(placed.join(several, "band", "left_semi"))
-    x, y = left_open.alias("x"), left_open.alias("y")
-    rest = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node"))
-               & (F.col("x.root") != F.col("y.root")) & sizes_fit("x.n", "y.n"))
-        .select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        .distinct()
-        .join(stars, ["u", "v"], "left_anti")
-    )
-    more = stored(_alike(stored(rest), sets, likeness))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    def open_places(roots: DataFrame, members: DataFrame) -> DataFrame:
+        """The members of bands that span several components."""
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a != b")
+        return placed.join(several.select("band", "m"), "band")
+
+    left_open = stored(open_places(roots, members.select("band", "node", "n")))
+    if not left_open.isEmpty():
+        bounds = stored(_bounds(sets, left_open.select("node").distinct()))
+        # A node with too few shared shingles is alike to no other.
+        left_open = stored(left_open.drop("m").join(bounds, "node").where(F.col("common") >= F.col("n") * F.lit(likeness)))
+        central = left_open.groupBy("band").agg(
+            F.min(F.struct((1 - F.col("common") / F.greatest("n", F.lit(1))).alias("alone"), "node", "n", "root")).alias("first")
+        )
+        again = stored(
+            left_open.join(central, "band")
+            .where((F.col("root") != F.col("first.root")) & sizes_fit("n", "first.n"))
+            .select(F.least("node", "first.node").alias("u"), F.greatest("node", "first.node").alias("v"))
+            .distinct()
+            .join(stars, ["u", "v"], "left_anti")
+        )
+        found = stored(_alike(again, sets, likeness))
+        if not found.isEmpty():
+            links = stored(links.unionByName(found))
+            roots = stored(components(links))
+        left_open = open_places(roots, left_open.drop("root"))
+        # A band's comparisons are dealt in slices: one side by its hash, the other to all of them.
+        slices = F.ceil(F.col("m") / SLICE).cast("int")
+        x = left_open.withColumn("slice", F.pmod(F.xxhash64("node"), slices).cast("int")).alias("x")
+        y = left_open.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).alias("y")
+        least = (F.col("x.n") + F.col("y.n")) * F.lit(likeness / (1 + likeness)) - F.lit(1e-6)
+        meet = F.aggregate(
+            F.zip_with("x.cells", "y.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda total, c: total + c
+        )
+        rest = (
+            x.join(
+                y,
+                (F.col("x.band") == F.col("y.band"))
+                & (F.col("x.slice") == F.col("y.slice"))
+                & (F.col("x.node") < F.col("y.node"))
+                & (F.col("x.root") != F.col("y.root"))
+                & sizes_fit("x.n", "y.n")
+                & (F.least("x.common", "y.common") >= least)
+                & (meet >= least),
+            )
+            .select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+            .distinct()
+            .join(stars.unionByName(again), ["u", "v"], "left_anti")
+        )
+        found = stored(_alike(stored(rest), sets, likeness))
+        if not found.isEmpty():
+            roots = components(links.unionByName(found))
 
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     firsts = named.select("row", "id").join(sketches.select("row", "node"), "row").groupBy("node").agg(F.min(rank).alias("rank"))

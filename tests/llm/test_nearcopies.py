@@ -1,7 +1,5 @@
 import random
 
-import random
-
 import corpus_pipeline
 from quadrille.llm import nearcopies
 
