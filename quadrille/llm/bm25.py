@@ -1,31 +1,48 @@
-"""Exact top-k search by BM25 over sharded inverted indexes.
-
-Documents are dealt to shards of a fixed number of documents. A shard builds
-an inverted index: postings in order of (term, document), cut into blocks of
-``BLOCK`` documents, with the largest term weight of each (term, block). A
-query's bound for a block is the sum of its terms' block maxima. The blocks
-with the highest bounds are scored first, and those whose bound is under the
-k-th best score so far are skipped with all their postings (block-max
-pruning), so the k best of a shard are exact. Where few blocks can be skipped,
-as for whole documents as queries, the terms' lists are read whole instead. Document frequencies, the number of documents
-and their mean length are those of the whole corpus, so the shards' results
-merge exactly.
-
-A term is named by a 64-bit hash. A query's distinct terms count once each:
+"""Exact top-k search by BM25 over sharded inverted indexes with block-max pruning.
+
+Documents are dealt to shards of some ``SHARD_CHARS`` characters. A shard has
+an inverted index (postings by term), the largest weight of each term, and of
+its ``COMMON`` commonest terms the largest weight in each block of ``BLOCK``
+documents. A query's terms are put in order of their lists' lengths. With a
+threshold known, the pivot is the first term from which on the sum of the
+remaining terms' bounds stays below it: a document without a term before the
+pivot cannot enter, so only the lists before it are read. A document found
+there stays a candidate if what it has so far and its block's maxima of the
+terms from the pivot on reach the threshold; only candidates are completed,
+and the few that still reach it are scored anew, exactly, in one order of
+terms, so equal texts have equal scores in every shard. This is WAND's test
+with block maxima, taken for all documents of a shard at once.
+
+The threshold is the k-th best score known: first that of the documents best
+by their rarest terms, and from the second round on that of all shards before.
+Shards are searched in rounds of doubling numbers, and a shard sends on only
+rows that reach the threshold, so a query's rows grow with the number of
+rounds, not of shards.
+
+Document frequencies, the number of documents and their mean length are those
+of the whole corpus, so the shards' results merge exactly. Terms are named by
+64-bit hashes; the queries' terms get dense numbers, the commonest first, so a
+query travels in some two bytes a term, and a shard's dictionary has the
+queries' terms only. A query's distinct terms count once each:
 score = sum of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1)
-/ (tf + K1 * (1 - B + B * length / mean length)).
+/ (tf + K1 * (1 - B + B * length / mean length)), to nine decimals.
 
 Every query meets every shard, so with queries in proportion to documents the
 work grows as their product; see the README for figures.
 
 Defined cases: a null text is empty; a query without terms, or whose terms no
-document holds, has no results; equal scores are ordered by document id;
-repeated rows are rows of their own.
+document holds, has no results; equal scores are ordered by document id, a
+null id first; repeated rows are rows of their own (a shard holds rows equal
+in id and text once, with their number); a document of any length is one
+entry; empty tables give an empty result; only the id and the text are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,14 +55,18 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import short_batches, stored, table, whole_text
 
 K1, B = 1.2, 0.75
-#: Documents of a shard, and of a block of postings.
-SHARD_DOCS, BLOCK = 20_000, 32
-#: Blocks scored at first, and the share of blocks left over which lists are read whole.
-FIRST, MANY = 16, 0.25
+#: Characters of a shard's texts, documents of a block, and terms of a shard that have block maxima.
+SHARD_CHARS, BLOCK, COMMON = 64_000_000, 32, 512
+#: Shards of the first round, and the share of a query's postings read before there is a threshold.
+FIRST_ROUND, HEAD = 2, 0.08
 #: Every ROW-th document id is a query; results of a query.
 QUERY_EVERY, TOP = 20, 10
-#: Terms counted before a task sends them on.
-COUNTED = 500_000
+#: Terms counted before a task sends them on, and terms of a row of the dictionary.
+COUNTED, PAGE = 500_000, 8192
+#: Terms after the pivot that are read between two tests of the candidates.
+PART = 16
+#: What sums of doubles and of floats may be off by, as a share.
+SLACK = 1e-5
 
 _terms = re.compile(r"[^\W_]+").findall
 
@@ -59,110 +80,184 @@ def _hash(term: str) -> int:
 
 
 class Shard:
-    """The inverted index of one shard."""
-
-    def __init__(self, mean: float):
-        self.mean, self.names = mean, {}
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.ids: list[int] = []
-        self.top: list[int] = []
-
-    def add(self, doc_id: int, text: str) -> None:
+    """The inverted index of one shard; ``read`` counts postings read, ``all`` those of the queries' terms."""
+
+    def __init__(self, mean: float, n: int):
+        self.mean, self.n = mean, n
+        self.pages: list[tuple[int, bytes, bytes]] = []
+        self.names: dict[str, int] = {}
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.rows: dict[tuple, int] = {}
+        self.many: list[int] = []
+        self.hashes: np.ndarray | None = None
+        self.read = self.all = 0
+
+    def page(self, first: int, hashes: bytes, df: bytes) -> None:
+        """A part of the dictionary: the hashes and document frequencies of terms from ``first`` on."""
+        self.pages.append((first, hashes, df))
+
+    def _open(self) -> None:
+        self.pages.sort()
+        ends = [(np.frombuffer(h, "<i8"), np.frombuffer(zlib.decompress(d), "<i8")) for _, h, d in self.pages]
+        hashes = np.concatenate([e[0] for e in ends]) if ends else np.zeros(0, np.int64)
+        df = np.concatenate([e[1] for e in ends]) if ends else np.zeros(0, np.int64)
+        self.pages = []
+        self.by_hash = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.by_hash]
+        self.idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+    def _codes(self, words: list[str]) -> list[int]:
+        got = [self.names.get(w) for w in words]
+        new = [i for i, c in enumerate(got) if c is None]
+        if new:
+            h = np.array([_hash(words[i]) for i in new], np.int64)
+            at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+            code = np.where(self.hashes[at] == h, self.by_hash[at], -1) if len(self.hashes) else np.full(len(h), -1)
+            for i, c in zip(new, code.tolist(), strict=True):
+                got[i] = self.names[words[i]] = c
+        return got
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        if self.hashes is None:
+            self._open()
+        key = (doc_id, hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        at = self.rows.setdefault(key, len(self.rows))
+        if at < len(self.many):
+            self.many[at] += 1
+            return
         words = terms(text)
         counts = Counter(words)
-        n = len(counts)
-        names = self.names
-        codes = np.fromiter([names.setdefault(t, len(names)) for t in counts], np.int32, n)
-        tf = np.fromiter(counts.values(), np.float64, n)
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / self.mean))
-        self.parts.append((codes, np.full(n, len(self.ids), np.int32), weight))
-        self.ids.append(doc_id)
-        self.top.append(int(codes[tf.argmax()]) if n else -1)
+        codes = np.array(self._codes(list(counts)), np.int32)
+        tf = np.fromiter(counts.values(), np.int32, len(counts))
+        known = codes >= 0
+        self.codes.append(codes[known])
+        self.counts.append(tf[known])
+        self.sizes.append(len(words))
+        self.many.append(1)
 
     def close(self) -> None:
-        code, doc, weight = (
-            (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
-        )
-        self.parts = []
-        # Documents with one commonest term stand together, so blocks differ more in their bounds.
-        turned = np.argsort(np.array(self.top, np.int64), kind="stable")
-        place = np.empty(len(turned), np.int32)
-        place[turned] = np.arange(len(turned), dtype=np.int32)
-        doc = place[doc]
-        order = np.lexsort((doc, code))
-        code, self.doc, self.weight = code[order], doc[order], weight[order]
-        block = self.doc // BLOCK
-        edge = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.zeros(0, np.int64)
-        #: Of each (term, block): its block, first posting and largest weight.
-        self.block, self.first = block[edge], np.append(edge, len(code))
-        self.most = np.maximum.reduceat(self.weight, edge) if len(edge) else np.zeros(0)
-        #: Of each term: its first (term, block).
-        self.entry = np.searchsorted(code[edge], np.arange(len(self.names) + 1))
-        hashes = np.fromiter(map(_hash, self.names), np.int64, len(self.names))
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        self.names = {}
-        self.doc_ids = np.array(self.ids, np.int64)[turned]
-        self.blocks = len(self.ids) // BLOCK + 1
-
-    def search(self, query: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (score, document id); ``query`` has term hashes."""
-        if not len(self.hashes):
+        if self.hashes is None:
+            self._open()
+        self.names, self.hashes, self.by_hash = {}, None, None
+        # Documents with one commonest term and like lengths stand together, so blocks differ more in their maxima.
+        top = [int(c[t.argmax()]) if len(c) else -1 for c, t in zip(self.codes, self.counts, strict=True)]
+        turned = np.lexsort((np.array(self.sizes, np.int64), np.array(top, np.int64))).tolist()
+        ids = [k[0] for k in self.rows]
+        self.ids = [ids[i] for i in turned]
+        self.many = [self.many[i] for i in turned]
+        size = np.array([self.sizes[i] for i in turned], np.float64)
+        self.norm = K1 * (1 - B + B * size / self.mean)
+        # By document: local terms and counts.
+        n = np.array([len(self.codes[i]) for i in turned], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        code = np.concatenate([self.codes[i] for i in turned]) if len(turned) else np.zeros(0, np.int32)
+        self.tf = np.concatenate([self.counts[i] for i in turned]) if len(turned) else np.zeros(0, np.int32)
+        self.codes, self.counts, self.rows = [], [], {}
+        self.known, local = np.unique(code, return_inverse=True)
+        self.known, self.term = self.known.astype(np.int64), local.astype(np.int32)
+        del code, local
+        # By term: documents and weights.
+        order = np.argsort(self.term, kind="stable")
+        doc = np.repeat(np.arange(len(turned), dtype=np.int32), n)
+        self.doc = doc[order]
+        tf = self.tf[order].astype(np.float64)
+        self.weight = (tf * (K1 + 1) / (tf + self.norm[self.doc])).astype(np.float32)
+        df = np.bincount(self.term, minlength=len(self.known))
+        self.first = np.concatenate([[0], np.cumsum(df)])
+        self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if len(df) else np.zeros(0, np.float32)
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        self.common = np.full(len(df), -1, np.int32)
+        self.common[common] = np.arange(len(common))
+        docs = -(-max(1, len(turned)) // BLOCK) * BLOCK
+        self.dense = np.zeros((len(common), docs), np.float32)
+        for i, t in enumerate(common.tolist()):
+            a, b = self.first[t], self.first[t + 1]
+            self.dense[i, self.doc[a:b]] = self.weight[a:b]
+        self.block_most = self.dense.reshape(len(common), docs // BLOCK, BLOCK).max(axis=2)
+        self.place = np.full(len(df), -1, np.int32)
+
+    def _partial(self, local: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What the terms ``local`` add to each document's score."""
+        lo, hi = self.first[local], self.first[local + 1]
+        posts = _ranges(lo, hi)
+        self.read += len(posts)
+        return np.bincount(self.doc[posts], np.repeat(idf, hi - lo) * self.weight[posts], len(self.ids))
+
+    def _exact(self, docs: np.ndarray, local: np.ndarray, places: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """The scores of ``docs``, summed in the order of the query's terms."""
+        self.place[local] = places
+        lo, hi = self.at[docs], self.at[docs + 1]
+        rows = _ranges(lo, hi)
+        at = self.place[self.term[rows]]
+        of = np.repeat(np.arange(len(docs)), hi - lo)
+        has = at >= 0
+        rows, at, of = rows[has], at[has], of[has]
+        tf = self.tf[rows].astype(np.float64)
+        cells = np.zeros((len(docs), len(idf)))
+        cells[of, at] = idf[at] * (tf * (K1 + 1) / (tf + self.norm[docs[of]]))
+        self.place[local] = -1
+        return np.round(cells.sum(axis=1), 9)
+
+    def search(self, query: np.ndarray, k: int, least: float = 0.0) -> list[tuple[float, int | None]]:
+        """The k best (score, document id) that reach ``least``; ``query`` has term numbers, ascending."""
+        at = np.minimum(np.searchsorted(self.known, query), max(0, len(self.known) - 1))
+        places = np.flatnonzero(self.known[at] == query) if len(self.known) else np.zeros(0, np.int64)
+        if not len(places):
             return []
-        at = np.minimum(np.searchsorted(self.hashes, query), len(self.hashes) - 1)
-        have = self.hashes[at] == query
-        term, idf = self.order[at[have]], idf[have]
-        if not len(term):
+        idf, local = self.idf[query], at[places]
+        n = self.first[local + 1] - self.first[local]
+        # The rarest first.
+        turn = np.argsort(n, kind="stable")
+        rare, n, weights = local[turn], n[turn], idf[places[turn]]
+        rest = np.append(np.cumsum((weights * self.most[rare])[::-1])[::-1], 0.0) * (1 + SLACK)
+        read = np.cumsum(n)
+        self.all += int(read[-1])
+        # Terms without block maxima are read whatever the pivot.
+        sparse = np.flatnonzero(self.common[rare] < 0)
+        always, done, got = int(sparse[-1]) + 1 if len(sparse) else 0, 0, np.zeros(len(self.ids))
+        if not least:
+            done = max(int(np.searchsorted(read, read[-1] * HEAD)) + 1, always)
+            got = self._partial(rare[:done], weights[:done])
+            some = min(len(got), 2 * k)
+            head = np.argpartition(-got, some - 1)[:some] if some < len(got) else np.arange(len(got))
+            scores = self._exact(head, local, places, idf)
+            copies = np.repeat(scores, np.minimum([self.many[i] for i in head.tolist()], k))
+            if len(copies) >= k:
+                least = max(least, float(np.partition(copies, len(copies) - k)[len(copies) - k]))
+        floor = least * (1 - SLACK) - 1e-9
+        pivot = max(always, min(int(np.searchsorted(-rest, -floor, side="right")), len(rare)))
+        if pivot > done:
+            got += self._partial(rare[done:pivot], weights[done:pivot])
+            done = pivot
+        light = weights.astype(np.float32)
+        docs = np.flatnonzero(got > 0)
+        total = got[docs]
+        while done < len(rare):
+            # What the terms from the pivot on can add at most, by block; then some of them are read.
+            later = self.common[rare[done:]]
+            bound = light[done:] @ self.block_most[later]
+            kept = total + bound[docs // BLOCK] * (1 + SLACK) >= floor
+            docs, total = docs[kept], total[kept]
+            part = later[:PART]
+            total = total + light[done : done + PART] @ self.dense[part[:, None], docs]
+            self.read += len(part) * len(docs)
+            done += PART
+        if len(total) > k:
+            # Counting documents never overstates the rows that they stand for.
+            floor = max(floor, np.partition(total, len(total) - k)[len(total) - k] * (1 - 2 * SLACK))
+        docs = docs[total >= floor * (1 - SLACK)]
+        if not len(docs):
             return []
-        lo, hi = self.entry[term], self.entry[term + 1]
-        entries = _ranges(lo, hi)
-        of_entry, weight = self.block[entries], np.repeat(idf, hi - lo)
-        # A little over the sum, as sums of doubles depend on their order.
-        bound = np.bincount(of_entry, weight * self.most[entries], self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, ids = self._score(order[:FIRST], entries, of_entry, weight)
-        scores, ids = _best(scores, ids, k)
-        least = scores[k - 1] if len(scores) >= k else 0.0
-        rest = order[FIRST:]
-        rest = rest[bound[rest] >= least]
-        if not len(rest):
-            return list(zip(scores.tolist(), ids.tolist(), strict=True))
-        if len(rest) > self.blocks * MANY:
-            # Few blocks can be skipped: whole lists are read faster than picked blocks.
-            a, b = self.first[lo], self.first[hi]
-            posts = _ranges(a, b)
-            full = np.bincount(self.doc[posts], np.repeat(idf, b - a) * self.weight[posts], len(self.doc_ids))
-            full[full < least] = 0
-            hit = np.flatnonzero(full)
-            scores, ids = full[hit], self.doc_ids[hit]
-        else:
-            more, more_ids = self._score(rest, entries, of_entry, weight)
-            scores, ids = np.concatenate([scores, more]), np.concatenate([ids, more_ids])
-        scores, ids = _best(scores, ids, k)
-        return list(zip(scores.tolist(), ids.tolist(), strict=True))
-
-    def _score(self, part: np.ndarray, entries: np.ndarray, of_entry: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the documents of the blocks ``part``."""
-        place = np.full(self.blocks, -1, np.int64)
-        place[part] = np.arange(len(part)) * BLOCK
-        some = place[of_entry] >= 0
-        e, w = entries[some], weight[some]
-        n = self.first[e + 1] - self.first[e]
-        posts = _ranges(self.first[e], self.first[e + 1])
-        docs = self.doc[posts]
-        score = np.bincount(place[docs // BLOCK] + docs % BLOCK, np.repeat(w, n) * self.weight[posts], len(part) * BLOCK)
-        hit = np.flatnonzero(score > 0)
-        return score[hit], self.doc_ids[part[hit // BLOCK] * BLOCK + hit % BLOCK]
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best, equal scores by id."""
-    if len(scores) > k:
-        kept = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-        scores, ids = scores[kept], ids[kept]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+        scores = self._exact(docs, local, places, idf)
+        best = []
+        for i in np.lexsort(([-1 if self.ids[d] is None else self.ids[d] for d in docs.tolist()], [self.ids[d] is not None for d in docs.tolist()], -scores)).tolist():
+            if scores[i] <= 0 or scores[i] < least or len(best) >= k:
+                break
+            d = int(docs[i])
+            best += [(float(scores[i]), self.ids[d])] * min(self.many[d], k - len(best))
+        return best
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -172,21 +267,26 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df) of a task's documents, in parts."""
+    """(term, df) of a task's documents, in parts; under the null term its documents, words and characters."""
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        keys = np.fromiter(map(_hash, counts), np.int64, len(counts))
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.values(), pa.int64())], names=["term", "df"])
+    def out(counts: Counter, size: tuple[int, int, int]) -> pa.RecordBatch:
+        keys = [*map(_hash, counts), None]
+        df = [*counts.values(), size[0]]
+        words, chars = [0] * len(counts) + [size[1]], [0] * len(counts) + [size[2]]
+        cols = [pa.array(c, pa.int64()) for c in (keys, df, words, chars)]
+        return pa.RecordBatch.from_arrays(cols, names=["term", "df", "words", "chars"])
 
     counts: Counter = Counter()
+    docs = words = chars = 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(set(terms(text)))
+            found = terms(text)
+            counts.update(set(found))
+            docs, words, chars = docs + 1, words + len(found), chars + len(text)
         if len(counts) >= COUNTED:
-            yield out(counts)
-            counts = Counter()
-    if counts:
-        yield out(counts)
+            yield out(counts, (docs, words, chars))
+            counts, docs, words, chars = Counter(), 0, 0, 0
+    yield out(counts, (docs, words, chars))
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,35 +297,73 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _search_shards(k: int, mean: float):
-    """Input sorted by shard, documents before queries."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, blob): a query's ascending term numbers as compressed differences."""
+    for batch in batches:
+        blobs = [zlib.compress(np.diff(np.array(t, np.int64), prepend=0).astype("<u4").tobytes(), 1) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["query_id", "blob"])
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, hashes, df) of (page, terms): a part of the dictionary as bytes."""
+    for batch in batches:
+        hashes, df = [], []
+        for rows in batch.column(1).to_pylist():
+            hashes.append(np.array([r["term"] for r in rows], "<i8").tobytes())
+            df.append(zlib.compress(np.array([r["df"] for r in rows], "<i8").tobytes(), 1))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(hashes, pa.binary()), pa.array(df, pa.binary())], names=["first", "hashes", "dfs"]
+        )
+
+
+def _search_shards(k: int, mean: float, n: int):
+    """Input sorted by shard: the dictionary, then documents, then queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, index, open_ = None, None, False
         for batch in batches:
-            rows: list[tuple[int, int, float]] = []
-            for r in batch.to_pylist():
-                if r["shard"] != now:
-                    now, index, open_ = r["shard"], Shard(mean), True
-                if r["kind"] == 0:
-                    index.add(r["id"] if r["id"] is not None else -1, r["text"])
-                    continue
-                if open_:
-                    index.close()
-                    open_ = False
-                query = np.array(r["terms"], np.int64)
-                idf = np.array(r["idf"], np.float64)
-                rows += [(r["id"], d, s) for s, d in index.search(query, idf, k)]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            rows: list[tuple] = []
+            cols = [batch.column(c) for c in ("shard", "kind", "id", "text", "blob", "more", "least")]
+            for shard, kind, key, text, blob, more, least in zip(*(c.to_pylist() for c in cols), strict=True):
+                if shard != now:
+                    now, index, open_ = shard, Shard(mean, n), True
+                if kind == 0:
+                    index.page(key, blob, more)
+                elif kind == 1:
+                    index.add(key, text)
+                else:
+                    if open_:
+                        index.close()
+                        open_ = False
+                    query = np.cumsum(np.frombuffer(zlib.decompress(blob), "<u4"), dtype=np.int64)
+                    rows += [(key, d, s) for s, d in index.search(query, k, least)]
+            out = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
                 names=["query_id", "doc_id", "score"],
             )
 
     return run
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def _numbered(dictionary: DataFrame) -> DataFrame:
+    """(term, df, code): dense numbers, the commonest first."""
+    spark = dictionary.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(dictionary.repartitionByRange(parts, F.desc("df"), "term").withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts, at = [], 0
+    for part in sorted(sizes):
+        starts.append((part, at))
+        at += sizes[part]
+    # One row for each partition.
+    start = F.broadcast(spark.createDataFrame(starts, "part int, start bigint"))
+    w = Window.partitionBy("part").orderBy(F.desc("df"), "term")
+    code = F.col("start") + F.row_number().over(w) - 1
+    return stored(dealt.join(start, "part").select("term", "df", code.alias("code")))
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(query_id, rank, doc_id, score): the ``k`` best documents of each query.
 
     ``docs``: doc_id, text; ``queries``: query_id (not null, unique), text.
@@ -234,44 +372,57 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_docs: int = S
     short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), whole_text().alias("text"))
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), whole_text().alias("text"))
-    # The same words as terms() finds.
-    size = docs.agg(F.count("*"), F.sum(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")))).first()
-    n, words = size[0] or 0, size[1] or 0
+    counted = docs.select("text").mapInArrow(_count_terms, "term bigint, df bigint, words bigint, chars bigint")
+    sums = stored(counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "words", "chars")]))
+    size = sums.where("term is null").first()
+    n, words, chars = (size["df"] or 0, size["words"] or 0, size["chars"] or 0) if size else (0, 0, 0)
     mean = words / n if words else 1.0
-    # Document frequencies of the queries' terms, back to the queries.
-    own = asked.mapInArrow(_query_terms, "query_id bigint, terms array<bigint>").select("query_id", F.explode("terms").alias("term"))
-    df = docs.select("text").mapInArrow(_count_terms, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = stored(
-        own.join(df, "term")
-        .groupBy("query_id")
-        .agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
-        .select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
-    )
-    shards = max(1, -(-n // shard_docs))
-    # Shard numbers that fall into partitions of their own.
-    spread = spark.range(64 * shards + 64).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(shards)).alias("p"))
-    numbers = [r[0] for r in spread.groupBy("p").agg(F.min("id").alias("id")).select("id").collect()]
-    numbers += [i for i in range(64 * shards + 64) if i not in set(numbers)][: shards - len(numbers)]
-    names = F.array(*[F.lit(int(i)) for i in numbers])
-    dealt = docs.select(
-        F.get(names, F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")).alias("shard"),
-        F.lit(0).alias("kind"),
-        "id",
-        "text",
-        F.lit(None).cast("array<bigint>").alias("terms"),
-        F.lit(None).cast("array<double>").alias("idf"),
+    own = stored(
+        asked.mapInArrow(_query_terms, "query_id bigint, terms array<bigint>").select("query_id", F.explode("terms").alias("term"))
     )
-    met = weighed.select(
-        F.explode(names).alias("shard"),
-        F.lit(1).alias("kind"),
-        F.col("query_id").alias("id"),
-        F.lit(None).cast("string").alias("text"),
-        "terms",
-        "idf",
+    dictionary = _numbered(sums.select("term", "df").join(own.select("term").distinct(), "term"))
+    numbers = own.join(dictionary.select("term", F.col("code").cast("int").alias("code")), "term")
+    numbers = numbers.groupBy("query_id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    packed = stored(numbers.mapInArrow(_packed, "query_id bigint, blob binary"))
+    page = F.floor(F.col("code") / PAGE) * PAGE
+    pages = dictionary.groupBy(page.cast("bigint").alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct("code", "term", "df"))).alias("terms")
     )
-    both = dealt.unionByName(met).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    found = both.mapInArrow(_search_shards(k, mean), "query_id bigint, doc_id bigint, score double")
+    pages = stored(pages.mapInArrow(_pages, "first bigint, hashes binary, dfs binary"))
+
+    shards = max(1, -(-chars // shard_chars))
+    shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
+    empty = {"text": "string", "blob": "binary", "more": "binary", "least": "double"}
+
+    def row(kind: int, key: str, **given: str) -> list:
+        return [F.lit(kind).alias("kind"), F.col(key).alias("id")] + [
+            (F.col(given[c]) if c in given else F.lit(None).cast(t)).alias(c) for c, t in empty.items()
+        ]
+
+    def searched(first: int, last: int, least: DataFrame) -> DataFrame:
+        """The rows of the shards from ``first`` to before ``last``."""
+        each = F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("shard")
+        dealt = docs.select(shard.alias("shard"), *row(1, "id", text="text")).where(F.col("shard").between(first, last - 1))
+        both = (
+            dealt.unionByName(pages.select(each, *row(0, "first", blob="hashes", more="dfs")))
+            .unionByName(least.select(each, *row(2, "query_id", blob="blob", least="least")))
+            .repartitionById(last - first, (F.col("shard") - first).cast("int"))
+            .sortWithinPartitions("shard", "kind")
+        )
+        return both.mapInArrow(_search_shards(k, mean, n), "query_id bigint, doc_id bigint, score double")
+
+    found, first, many = None, 0, FIRST_ROUND
+    while first < shards:
+        last = min(shards, first + many)
+        least = packed.withColumn("least", F.lit(0.0))
+        if found is not None:
+            kth = found.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("kth"))
+            least = packed.join(kth, "query_id", "left").withColumn("least", F.coalesce("kth", F.lit(0.0)))
+        more = stored(searched(first, last, least))
+        found = more if found is None else found.unionByName(more)
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+        first, many = last, last
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -32,12 +34,12 @@ def found(df):
     return out
 
 
-@pytest.mark.parametrize("shard_docs", [40, 20_000])
-def test_against_brute_force(spark, sf, shard_docs):
+@pytest.mark.parametrize("shard_chars", [60_000, 64_000_000])
+def test_against_brute_force(spark, sf, shard_chars):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     queries = df.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id")
-    got = found(bm25.top_k(df, queries, 7, shard_docs))
+    got = found(bm25.top_k(df, queries, 7, shard_chars))
     assert got == {q: v for q, v in slow(docs, [d for d in docs if d[0] % 9 == 0], 7).items() if v}
 
 
@@ -49,6 +51,37 @@ def test_short_queries_are_pruned_and_exact(spark):
     assert found(bm25.top_k(df, q, 5)) == {k: v for k, v in slow(docs, queries, 5).items() if v}
 
 
+def test_pruned_search_reads_fewer_postings():
+    import numpy as np
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(4000)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(4000)], k=rng.choice([40, 150])))) for i in range(1500)]
+    vocabulary = Counter(t for _, text in docs for t in set(text.split()))
+    named = sorted(vocabulary, key=lambda t: (-vocabulary[t], bm25._hash(t)))
+    shard = bm25.Shard(sum(len(t.split()) for _, t in docs) / len(docs), len(docs))
+    shard.page(0, np.array([bm25._hash(t) for t in named], "<i8").tobytes(), zlib.compress(np.array([vocabulary[t] for t in named], "<i8").tobytes()))
+    for i, text in docs:
+        shard.add(i, text)
+    shard.close()
+    code = {t: i for i, t in enumerate(named)}
+    want = slow(docs, docs[:40], 10)
+    for i, text in docs[:40]:
+        query = np.array(sorted(code[t] for t in set(text.split())))
+        got = shard.search(query, 10)
+        assert [(round(s, 6), d) for s, d in got] == want[i]
+        assert shard.search(query, 10, got[-1][0]) == got and shard.search(query, 10, got[2][0]) == [x for x in got if x[0] >= got[2][0]]
+    assert 0 < shard.read < 0.7 * shard.all
+
+
+def test_rows_that_repeat(spark):
+    rows = [(1, "a b c")] * 5 + [(None, "a b")] * 2 + [(-1, "a b"), (2, "q")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, "a b c")], "query_id bigint, text string")
+    assert [d for _, d in found(bm25.top_k(df, q, 8))[1]] == [1] * 5 + [None, None, -1]
+    assert [d for _, d in found(bm25.top_k(df, q, 3, 2))[1]] == [1] * 3
+
+
 def test_odd_rows(spark):
     df = odd_documents(spark)
     queries = df.where("doc_id in (1, 3, 5, 7)").selectExpr("doc_id as query_id", "text")
