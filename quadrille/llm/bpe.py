@@ -7,7 +7,9 @@ pre-tokenizer's pattern, spelt in the byte alphabet and merged.
 Merging uses a contiguous rank array: the parts of a short word are kept as
 boundaries, with the rank of each adjacent pair beside them; the array is
 scanned for its minimum, that boundary is deleted, and the ranks of the two
-neighbours are looked up again, until no pair can merge.
+neighbours are looked up again, until no pair can merge. Scanning takes the
+square of a word's length, so a word of over ``SHORT`` bytes keeps its ranks in
+a heap and its boundaries in a linked list; the order of merges is the same.
 
 No alternative of the pattern crosses white space, so a text's tokens are its
 white-space chunks' tokens in a row; chunks and pieces seen before are looked
@@ -15,12 +17,16 @@ up in a memo of fixed size. The work is row by row: no shuffle, and a lost
 executor's rows are read again.
 
 Defined cases: a null text is empty and has no tokens; repeated rows each get
-their tokens; a very long text is handled chunk by chunk.
+their tokens; a very long text is handled chunk by chunk, and a chunk may be as
+long as the text; an empty table gives an empty result. A column of the input
+that is named ``ids`` (or ``decoded``, in :func:`decode_documents`) comes back
+as ``ids_given``; others keep their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -32,11 +38,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quadrille.llm.common import short_batches, table, whole_text
+from quadrille.llm.common import short_batches, spare, table, whole_text
 
 #: Chunks and pieces that a worker remembers: two generations of so many, of
 #: this length at most.
 MEMO, LONGEST = 350_000, 40
+#: Bytes of a word up to which its ranks are scanned.
+SHORT = 256
 #: White space as the vocabulary file's pattern has it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -84,6 +92,8 @@ class WordBpe:
         inner, rank, never = self.inner, self.rank.get, 1 << 30
         parts = [inner[b] for b in data]
         parts[-1] = self.last[data[-1]]
+        if len(parts) > SHORT:
+            return self._merge_long(parts)
         ranks = [rank(a << 20 | b, never) for a, b in zip(parts, parts[1:])]  # noqa: B905
         while ranks:
             least = min(ranks)
@@ -99,6 +109,29 @@ class WordBpe:
                 ranks[i] = rank(part << 20 | parts[i + 1], never)
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """As :meth:`merge`: the least rank first, the leftmost of equal ones."""
+        rank, end = self.rank.get, len(parts)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(end - 1) if (r := rank(parts[i] << 20 | parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            # A part that was merged away, or has changed since, has -1 or another id.
+            if parts[i] != a or j >= end or parts[j] != b:
+                continue
+            parts[i], parts[j] = self.made[r], -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (q := rank(parts[i] << 20 | parts[k])) is not None:
+                    heapq.heappush(heap, (q, i, parts[i], parts[k]))
+            h = before[i]
+            if h >= 0 and (q := rank(parts[h] << 20 | parts[i])) is not None:
+                heapq.heappush(heap, (q, h, parts[h], parts[i]))
+        return [p for p in parts if p >= 0]
+
     @staticmethod
     def normal(text: str) -> str:
         if text.isascii():
@@ -182,7 +215,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``, the token ids of the text, in place of the text."""
     short_batches(docs.sparkSession)
-    docs = docs.drop("ids").withColumn(text, whole_text(text))
+    docs = spare(docs, "ids").withColumn(text, whole_text(text))
     at = docs.columns.index(text)
     schema = T.StructType([*docs.drop(text).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -200,7 +233,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``docs`` with ``decoded`` in place of ``ids``."""
     short_batches(docs.sparkSession)
-    docs = docs.drop("decoded")
+    docs = spare(docs, "decoded")
     at = docs.columns.index(ids)
     schema = T.StructType([*docs.drop(ids).schema.fields, T.StructField("decoded", T.StringType())])
 

@@ -28,17 +28,31 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def spare(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its own columns of these names kept as ``<name>_given``, so that ``names`` can be added."""
+    for name in names:
+        if name in df.columns:
+            given = f"{name}_given"
+            while given in df.columns:
+                given += "_"
+            df = df.withColumnRenamed(name, given)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that executors and driver share.
+    """The folder that executors and driver share: the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir``; only where that is unset (tests) a
-    folder of this machine is used.
+    Without that setting only a local session (all in one process) gets a
+    folder of this machine; on a cluster the call is refused.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+            folder = tempfile.mkdtemp(prefix="quadrille-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

@@ -6,26 +6,29 @@ patterns to source quotas; a pattern's words cost more with each repetition
 (convex), so nothing is repeated while unread words would do. Inside a pattern
 the documents for the last, partial pass are chosen by a seeded hash.
 
-The driver holds one number for each pattern and source, never documents; the
-patterns are as many as the data's source combinations, and
-``MAX_PATTERNS`` states the limit beyond which the call refuses to go on.
+Patterns that share no source are independent, so each connected part of the
+network is solved by itself; a source that stands in one-source patterns only
+needs no flow, its words are the lesser of quota and capacity. The driver holds
+one number for each pattern and source, never documents.
 
 Defined cases: a null source is a source of its own and sorts last; a null
 text has size 0; a document of size 0 is returned with ``taken`` 0; repeated
-rows count each; an empty table gives an empty result.
+rows count each; null or repeated ids are told apart by a hash of their text;
+an empty table gives an empty result; only the named columns are read, and a
+column that starts with an underscore may not clash with the working columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import WORD, cut, table, whole_text
 
-#: Patterns and sources that the flow network may have.
-MAX_PATTERNS = 100_000
+#: Rows of a plan that is broadcast; a longer one is joined by a shuffle.
+PLAN_ROWS = 100_000
 #: Sizes of the two histogram levels that place the seeded cut, as bits.
 BITS = 12
 
@@ -54,6 +57,33 @@ def targets(sizes: dict, weights: Sequence[float], share: float, most: float) ->
     return out
 
 
+def flows(supply: dict, quota: dict, passes: int) -> dict:
+    """Words sent from each pattern to each source, part by part of the network."""
+    root = {s: s for s in quota}
+
+    def find(s):
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for p in supply:
+        for s in p[1:]:
+            root[find(s)] = find(p[0])
+    parts: dict = {}
+    for p in supply:
+        if p:
+            parts.setdefault(find(p[0]), []).append(p)
+    out = {}
+    for patterns in parts.values():
+        if len(patterns) == 1 and len(patterns[0]) == 1:
+            p = patterns[0]
+            out[p, p[0]] = min(quota[p[0]], passes * supply[p])
+        else:
+            own = {s: quota[s] for p in patterns for s in p}
+            out |= min_cost_flow({p: supply[p] for p in patterns}, own, passes)
+    return out
+
+
 def min_cost_flow(supply: dict, quota: dict, passes: int) -> dict:
     """Words sent from each pattern to each source.
 
@@ -112,6 +142,7 @@ def mix_sources(
     sources: str = "sources",
     passes: int = 2,
     seed: int = 7,
+    tie: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``taken``: the words that the mix takes of each document.
 
@@ -119,30 +150,29 @@ def mix_sources(
     ``quota_of`` maps {source: words} to {source: words asked}. Whole passes
     are taken of every document of a pattern; the rest goes to the documents
     first in seeded order, the last of them in part, so that quotas are met to
-    the word where the flow can meet them.
+    the word where the flow can meet them. ``tie`` tells rows of one id apart.
     """
+    ids = [doc_id] + ([tie] if tie else [])
     spark = docs.sparkSession
     docs = cut(
         docs.withColumn("_pattern", F.array_sort(F.array_distinct(sources))).withColumn(
-            "_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 64 - 3 * BITS)
+            "_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *ids), 64 - 3 * BITS)
         )
     )
     agg = docs.groupBy("_pattern").agg(F.sum(size).cast("bigint").alias("n"))
-    found = agg.limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} membership patterns")
-    supply = {tuple(r["_pattern"]): int(r["n"] or 0) for r in found}
+    supply = {tuple(r["_pattern"]): int(r["n"] or 0) for r in agg.collect()}
     sizes: dict = {}
     for p, n in supply.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
     quota = {s: round(v) for s, v in quota_of(sizes).items()}
-    flow = min_cost_flow(supply, quota, passes)
+    flow = flows(supply, quota, passes)
     plan = []
     for p, n in supply.items():
         words = sum(flow[p, s] for s in p)
         plan.append((list(p), words // n if n else 0, words % n if n else 0))
-    plan_df = F.broadcast(spark.createDataFrame(plan, "_p array<string>, _base bigint, _rest bigint"))
+    small = (lambda df: F.broadcast(df)) if len(plan) <= PLAN_ROWS else (lambda df: df)
+    plan_df = small(spark.createDataFrame(plan, "_p array<string>, _base bigint, _rest bigint"))
     # An array of a null source equals itself under <=>, unlike under =.
     docs = docs.join(plan_df, F.col("_pattern").eqNullSafe(F.col("_p"))).drop("_p")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
@@ -154,7 +184,7 @@ def mix_sources(
             F.sum(size).alias("_n"), F.first("_rest").alias("_rest")
         )
         if before is not None:
-            sums = sums.join(F.broadcast(before), same("_pattern", "_q")).drop("_q", "_bucket")
+            sums = sums.join(small(before), same("_pattern", "_q")).drop("_q", "_bucket")
         else:
             sums = sums.withColumn("_done", F.lit(0).cast("bigint"))
         w = Window.partitionBy("_pattern").orderBy("_b")
@@ -169,7 +199,7 @@ def mix_sources(
 
     def inside(rows: DataFrame, edges: DataFrame, level: int) -> DataFrame:
         kept = rows.join(
-            F.broadcast(edges),
+            small(edges),
             same("_pattern", "_q") & (F.shiftright("_h", (2 - level) * BITS) == F.col("_bucket")),
         )
         return kept
@@ -178,13 +208,13 @@ def mix_sources(
     near = inside(docs, first, 0).drop("_q", "_bucket", "_done")
     second = cut(cut_at(near, 1, first))
     # What is left is one 2^-24 part of a pattern: its rows are placed one by one.
-    w = Window.partitionBy("_pattern").orderBy("_h", doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_pattern").orderBy("_h", *ids).rowsBetween(Window.unboundedPreceding, -1)
     last = inside(docs, second, 1)
     last = last.withColumn("_at", F.col("_done") + F.coalesce(F.sum(size).over(w), F.lit(0)))
     last = last.withColumn(
         "_more", F.greatest(F.lit(0), F.least(F.col(size), F.col("_rest") - F.col("_at"))).cast("bigint")
     ).drop("_q", "_bucket", "_done", "_at")
-    edge = F.broadcast(second.select("_q", "_bucket"))
+    edge = small(second.select("_q", "_bucket"))
     rest = docs.join(edge, same("_pattern", "_q"), "left")
     b = F.shiftright("_h", BITS)
     rest = rest.where(F.col("_bucket").isNull() | (b != F.col("_bucket"))).withColumn(
@@ -200,10 +230,16 @@ def mix_sources(
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
 
+def tie_of() -> Column:
+    """What tells documents of one id apart: a hash of the text."""
+    return F.xxhash64(F.col("text").isNull(), whole_text())
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size in words, and the one-source membership of each document."""
+    """doc_id, size in words, the one-source membership, and a hash of the text, of each document."""
     return docs.select(
         "doc_id",
+        tie_of().alias("tie"),
         F.regexp_count(whole_text(), F.lit(WORD)).cast("bigint").alias("size"),
         F.array(F.col("source").cast("string")).alias("sources"),
     )
@@ -217,18 +253,18 @@ def mix_documents(docs: DataFrame, seed: int = 7) -> tuple[DataFrame, dict, dict
         got.update(sizes=sizes, targets=targets(sizes, WEIGHTS, SHARE, MOST))
         return got["targets"]
 
-    out = mix_sources(sized(docs), quota_of, passes=MOST, seed=seed)
+    out = mix_sources(sized(docs), quota_of, passes=MOST, seed=seed, tie="tie")
     return out, got["sizes"], got["targets"]
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words at the weights 3, 1, 2."""
     out, sizes, asked = mix_documents(table(spark, sf_dir, "documents"))
-    per = F.broadcast(
-        spark.createDataFrame(
-            [(s, n, float(asked[s])) for s, n in sizes.items()], "_s string, source_size bigint, target double"
-        )
+    per = spark.createDataFrame(
+        [(s, n, float(asked[s])) for s, n in sizes.items()], "_s string, source_size bigint, target double"
     )
+    if len(sizes) <= PLAN_ROWS:
+        per = F.broadcast(per)
     return out.join(per, F.col("sources")[0].eqNullSafe(F.col("_s"))).select(
         "doc_id", "size", "source_size", "target", "taken"
     )

@@ -8,12 +8,15 @@ candidates are verified by the pattern itself. A rule whose pattern has no
 mandatory trigram scans every text.
 
 The index is built block by block, where the texts are: nothing is shuffled,
-a lost executor's blocks are simply read again, and memory is bounded by a
-block. Whole texts are scanned; matches are leftmost and do not overlap within
+a lost executor's blocks are simply read again. An index lives as long as its
+block of ``BLOCK_BYTES`` (or one longer text), and is built from pieces of that
+size. Whole texts are scanned; matches are leftmost and do not overlap within
 a rule; matches that fail a rule's length test are dropped.
 
 Defined cases: a null text is empty; an empty text has no span; repeated rows
-each get their spans; spans are in code points, the end exclusive.
+each get their spans; spans are in code points, the end exclusive; an empty
+table gives an empty result. A column of the input that is named ``spans``
+comes back as ``spans_given``; others keep their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import short_batches, table, whole_text
+from quadrille.llm.common import short_batches, spare, table, whole_text
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,8 @@ MORE = (
 )
 RULES = BASE + MORE
 
+#: Bytes of a block of texts, and of a piece of it that is indexed at once.
+BLOCK_BYTES = 1 << 22
 #: Strings that an expression may match exactly are followed up to this many.
 MOST_EXACT = 64
 
@@ -208,14 +213,18 @@ class TrigramIndex:
         ends = np.cumsum([len(t) + 1 for t in texts])
         block = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
         self.postings = {i: np.zeros(0, np.int64) for i in self.ids.values()}
-        if len(block) < 3:
+        parts = []
+        for at in range(0, len(block) - 2, BLOCK_BYTES):
+            piece = block[at : at + BLOCK_BYTES + 2]
+            code = piece[:-2].astype(np.int32) << 16
+            code |= piece[1:-1].astype(np.int32) << 8
+            code |= piece[2:]
+            slots = self.slot[code]
+            hit = np.flatnonzero(slots >= 0)
+            parts.append(np.unique(slots[hit].astype(np.int64) << 32 | np.searchsorted(ends, hit + at, side="right")))
+        if not parts:
             return
-        code = block[:-2].astype(np.int32) << 16
-        code |= block[1:-1].astype(np.int32) << 8
-        code |= block[2:]
-        slots = self.slot[code]
-        at = np.flatnonzero(slots >= 0)
-        pairs = np.unique(slots[at].astype(np.int64) << 32 | np.searchsorted(ends, at, side="right"))
+        pairs = np.unique(np.concatenate(parts))
         which, doc = pairs >> 32, pairs & 0xFFFFFFFF
         cuts = np.flatnonzero(np.diff(which)) + 1
         for w, d in zip(np.split(which, cuts), np.split(doc, cuts), strict=True):
@@ -254,7 +263,17 @@ class Scanner:
         return rule.pattern
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """(start, rule number, end) of each span, sorted, for each text."""
+        """(start, rule number, end) of each span, sorted, for each text; texts are taken block by block."""
+        spans, block, size = [], [], 0
+        for t in texts:
+            if block and size + len(t) > BLOCK_BYTES:
+                spans += self._scan_block(block)
+                block, size = [], 0
+            block.append(t)
+            size += len(t)
+        return spans + self._scan_block(block)
+
+    def _scan_block(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         self.index.build([t.encode("utf-8", "surrogatepass") for t in texts])
         spans: list[list] = [[] for _ in texts]
         for k, (rule, query, found) in enumerate(zip(self.rules, self.queries, self.found, strict=True)):
@@ -290,7 +309,7 @@ SPANS = T.ArrayType(
 def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``spans``, an array of (kind, start, stop)."""
     short_batches(docs.sparkSession)
-    docs = docs.drop("spans").withColumn(text, whole_text(text))
+    docs = spare(docs, "spans").withColumn(text, whole_text(text))
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", SPANS)])
     return docs.mapInArrow(_scan_batches(rules, docs.columns.index(text)), schema)
 

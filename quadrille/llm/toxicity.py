@@ -8,18 +8,24 @@ makes the score. Only the text is an input of the score.
 
 Training reads at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled documents,
 picked by a hash of their id from rows that are not held out; that bound is a
-parameter. Vectors begin with the smoothed log-odds of their bucket, and a
-bucket seen in fewer than ``LEAST_DOCS`` training documents is not kept, so an
-unknown word counts for nothing. The language of a training row serves only to
-calibrate the threshold of each language, which :func:`classify` applies.
+parameter. All parameters begin at random (seeded); a bucket seen in fewer than
+``LEAST_DOCS`` training documents is not kept, so an unknown word counts for
+nothing. The threshold of each language, which :func:`classify` applies, is
+calibrated on one training row in ``CALIBRATE`` by a first model that has not
+learnt from these; then all training rows teach the model that is used. The
+language is used for the thresholds only.
 
 The model has at most a fixed number of rows by that bound, so it is broadcast.
 
 Defined cases: a null text is empty, and an empty text gets the score of a
-text of unknown words; null labels are not learnt from; without both labels in
-the training rows every score is their share of toxic rows (0 without rows);
-repeated rows get the same score; an unknown or null language gets the
-threshold of all languages together.
+text of unknown words; null labels are not learnt from; of several labels of
+an id the larger counts, and of several texts of an id the one with the
+smallest hash; without both labels in the training rows every score is their
+share of toxic rows (0 without rows); repeated rows get the same score; an
+unknown or null language, or one without both labels in the calibration rows,
+gets the threshold of all languages together; an empty table gives an empty
+result. A column of the input that is named ``score`` (or ``toxic``, in
+:func:`classify`) comes back as ``score_given``; others keep their names.
 """
 
 from __future__ import annotations
@@ -34,17 +40,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import short_batches, table, whole_text
+from quadrille.llm.common import short_batches, spare, table, whole_text
 
 #: Labelled documents that training reads at most.
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: Buckets of words, of beginnings, the letters of a beginning, and of training documents that keep a bucket.
 WORD_BITS, PREFIX_BITS, PREFIX, LEAST_DOCS = 22, 20, 4, 2
 #: Vector size, filter widths, filters of each width.
-DIM, WIDTHS, FILTERS = 6, (1, 2, 3), 4
+DIM, WIDTHS, FILTERS = 16, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 0.08, 1e-4, 11
-#: Documents of the usual share that each bucket's log-odds begin with.
-PRIOR = 5
+#: One training row in so many calibrates the thresholds.
+CALIBRATE = 5
 #: Score from which the query predicts toxic, and chunks a worker remembers.
 THRESHOLD, MEMO = 0.7, 400_000
 #: Words pooled at once.
@@ -151,35 +157,35 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None]) -> Model:
         docs.append(np.array(ids or [(-1, -1)], np.int64).reshape(-1, 2))
         if len(docs[-1]) <= pad:
             docs[-1] = np.concatenate([docs[-1], np.full((1, 2), -1)])
-    # Documents of each class in which a bucket stands.
-    seen = [np.unique(d) for d in docs]
-    keys, at = np.unique(np.concatenate(seen), return_inverse=True)
-    label = np.repeat(y, [len(s) for s in seen])
-    pos, n = np.bincount(at, label, len(keys)), np.bincount(at, minlength=len(keys))
-    kept = (n >= LEAST_DOCS) & (keys >= 0)
-    keys, pos, n = keys[kept], pos[kept], n[kept]
-    share = y.mean()
-    odds = np.log((pos + PRIOR * share) / (n + PRIOR)) - np.log((n - pos + PRIOR * (1 - share)) / (n + PRIOR))
-    odds -= np.log(share / (1 - share))
+    aside = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % CALIBRATE == 0 for t in texts])
+    if y[aside].min(initial=1) == y[aside].max(initial=0) or y[~aside].min(initial=1) == y[~aside].max(initial=0):
+        # Too few rows to set some aside.
+        aside = np.ones(len(y), bool)
+    model = _trained(docs, y)
+    judge = Scorer(model if aside.all() else _trained([d for d, a in zip(docs, aside, strict=True) if not a], y[~aside]))
+    scores = np.array([judge.score(t) if a else 0.0 for t, a in zip(texts, aside, strict=True)])
+    for lang in [None, *sorted({x for x in langs if x})]:
+        of = aside & np.array([lang is None or x == lang for x in langs])
+        model.thresholds[lang] = _calibrated(scores[of], y[of], model.thresholds.get(None, THRESHOLD))
+    return model
+
+
+def _trained(docs: list[np.ndarray], y: np.ndarray) -> Model:
+    """The network of documents given as pairs of buckets."""
+    keys, n = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+    keys = keys[(n >= LEAST_DOCS) & (keys >= 0)]
     rng = np.random.default_rng(SEED)
     vectors = np.zeros((len(keys) + 1, DIM), np.float32)
-    vectors[1:] = rng.normal(0, 0.05, (len(keys), DIM))
-    vectors[1:, 0] = odds / 4
+    vectors[1:] = rng.normal(0, 0.1, (len(keys), DIM))
     model = Model(keys, vectors, {}, {}, rng.normal(0.5, 0.1, len(WIDTHS) * FILTERS).astype(np.float32), -1.0)
     for k in WIDTHS:
-        model.filters[k] = rng.normal(0, 0.1, (k, DIM, FILTERS)).astype(np.float32)
-        model.filters[k][:, 0] += 1.0 / k
+        model.filters[k] = rng.normal(0, 0.3, (k, DIM, FILTERS)).astype(np.float32)
         model.bias[k] = np.zeros(FILTERS, np.float32)
     rows = []
     for d in docs:
         i = np.searchsorted(keys, d)
         rows.append(np.where((i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] == d), i + 1, 0) if len(keys) else np.zeros_like(d))
     _fit(model, rows, y, rng)
-    scorer = Scorer(model)
-    scores = np.array([scorer.score(t) for t in texts])
-    for lang in [None, *sorted({x for x in langs if x})]:
-        of = np.array([lang is None or x == lang for x in langs])
-        model.thresholds[lang] = _calibrated(scores[of], y[of], THRESHOLD)
     return model
 
 
@@ -233,7 +239,7 @@ def _fit(model: Model, rows: list[np.ndarray], y: np.ndarray, rng: np.random.Gen
                 grad[ids == 0] = 0
                 grad += DECAY * model.vectors[ids]
                 squares["vectors"][ids] += grad**2
-                model.vectors[ids] -= RATE * 0.2 * grad / np.sqrt(squares["vectors"][ids])
+                model.vectors[ids] -= RATE * grad / np.sqrt(squares["vectors"][ids])
     model.vectors[0] = 0
 
 
@@ -268,10 +274,13 @@ def fit(
     ]
     # At most most_toxic + most_clean ids: a bounded broadcast.
     ids = F.broadcast(picked[0].unionByName(picked[1]))
+    text = F.struct(F.xxhash64(whole_text()).alias("tie"), whole_text().alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = (
-        docs.select("doc_id", whole_text().alias("text"), F.col("lang").cast("string").alias("lang"))
+        docs.select("doc_id", text.alias("t"))
         .join(ids, "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("t").alias("t"))
+        .select("doc_id", "toxic", "t.text", "t.lang")
         .orderBy("doc_id")
         .limit(most_toxic + most_clean)
         .collect()
@@ -283,7 +292,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` from 0 to 1, made of the text alone."""
     spark = docs.sparkSession
     short_batches(spark)
-    docs = docs.drop("score")
+    docs = spare(docs, "score")
     at = docs.columns.index(text)
     shared = spark.sparkContext.broadcast(model)
 
@@ -298,6 +307,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def classify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with ``score`` and ``toxic``: the score is at or over its language's threshold."""
+    docs = spare(docs, "toxic")
     least = F.lit(model.thresholds.get(None, THRESHOLD))
     for name, value in model.thresholds.items():
         if name is not None:

@@ -1,3 +1,4 @@
+import random
 import hashlib
 
 from tokenizers import Tokenizer
@@ -54,3 +55,21 @@ def test_odd_rows_round_trip(spark):
     back = bpe.decode_documents(encoded, path).collect()
     assert sorted(r.decoded for r in back) == sorted(lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in texts)
     assert bpe.encode_documents(df.limit(0), path).collect() == []
+
+
+def test_long_words_merge_as_short_ones(monkeypatch):
+    bpe_ = bpe.WordBpe(bpe.tokenizer_path())
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeinorst", k=n)) for n in (1, 2, 3, 40, 255, 256, 257, 258, 900)] + ["a" * 700, "ab" * 300, "\u00e9x" * 200]
+    short = []
+    monkeypatch.setattr(bpe, "SHORT", 1 << 30)
+    short = [bpe_.merge(w) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [bpe_.merge(w) for w in words] == short
+
+
+def test_one_chunk_of_a_million_characters():
+    bpe_ = bpe.WordBpe(bpe.tokenizer_path())
+    text = "".join(random.Random(5).choices("abcdeinorst", k=1_000_000))
+    ids = bpe_.encode(text)
+    assert "".join(bpe_.tokens[i] for i in ids).replace("</w>", "") == text

@@ -32,6 +32,9 @@ def test_flow_is_of_least_cost():
     supply = {("a",): 4, ("a", "b"): 3, ("b",): 2}
     for quota in ({"a": 6, "b": 5}, {"a": 10, "b": 1}, {"a": 0, "b": 9}, {"a": 14, "b": 4}):
         flow = mixing.min_cost_flow(supply, quota, 2)
+        parts = mixing.flows(supply, quota, 2)
+        assert sum(parts.values()) == sum(flow.values())
+        assert all(sum(v for (p, s), v in parts.items() if s == q) <= quota[q] for q in quota)
         sent = {p: sum(v for (q, _), v in flow.items() if q == p) for p in supply}
         cost = sum(max(0, sent[p] - supply[p]) for p in supply)
         best = None

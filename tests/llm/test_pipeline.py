@@ -3,10 +3,10 @@ import re
 import pytest
 from tokenizers import Tokenizer
 
-from quadrille.llm import bpe, mixing, secrets, simhash, toxicity
+from quadrille.llm import bpe, mixing, secrets, toxicity
 from tests.llm.data import odd_documents
+from tests.llm.test_nearcopies import slow_kept
 from tests.llm.test_secrets import slow as slow_secrets
-from tests.llm.test_simhash import slow_components
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -30,9 +30,7 @@ def test_run_against_plain_python(spark):
     rows = {d.doc_id: d for d in docs.collect()}
     left = {i: d.text for i, d in rows.items() if scorer.score(d.text or "") < model.thresholds.get(d.lang, usual)}
     assert 0 < len(left) < len(rows)
-    prints = [(i, simhash.simhash(t or "")) for i, t in left.items()]
-    first = slow_components(prints)
-    left = {i: left[i] for i, p in prints if first[i, p] == i}
+    left = {i: left[i] for i in slow_kept(list(left.items()))}
     left = {i: plain_redact(t) for i, t in left.items()}
     lib = Tokenizer.from_file(bpe.tokenizer_path())
     got = pipeline.run(spark, sf).collect()

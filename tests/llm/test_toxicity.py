@@ -46,6 +46,61 @@ def test_scores_depend_on_the_text_alone_and_blocks_do_not_matter(monkeypatch):
     assert np.allclose([tx.Scorer(model).score(t) for t in (*texts, long, "", "one")], whole, atol=1e-5)
 
 
+def slow_score(model, text):
+    """The network word by word: sums of vectors, every filter at every place, the largest of each, a logistic layer."""
+    vectors = {int(k): v for k, v in zip(model.keys, model.vectors[1:], strict=True)}
+    zero = np.zeros(tx.DIM)
+    words = [sum((vectors.get(b, zero) for b in tx.buckets(c)), zero) for c in text.split()]
+    places = max(1, len(words))
+    words += [zero] * max(tx.WIDTHS)
+    pooled = []
+    for k in tx.WIDTHS:
+        for f in range(tx.FILTERS):
+            outs = [sum(float(np.dot(words[i + j], model.filters[k][j][:, f])) for j in range(k)) + model.bias[k][f] for i in range(places)]
+            pooled.append(max(0.0, max(outs)))
+    return 1 / (1 + np.exp(-(np.dot(pooled, model.weight) + model.offset)))
+
+
+def test_scores_against_a_plain_network():
+    texts, y = _corpus()
+    model = tx.train(texts, y, ["en"] * len(y))
+    scorer = tx.Scorer(model)
+    for t in [*texts[:25], "", "one", "Rotter! rotterly " * 3, "w1 ... w2 - 12 w3"]:
+        assert abs(scorer.score(t) - slow_score(model, t)) < 1e-5
+
+def test_training_matters(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    texts, y = [], []
+    for k in range(900):
+        t = list(rng.choice(words[12:], 30))
+        y.append(int(k % 4 == 0))
+        if y[-1]:
+            t[int(rng.integers(30))] = words[int(rng.integers(12))]
+        texts.append(" ".join(t))
+
+    def right(m):
+        score = tx.Scorer(m).score
+        return ((np.array([score(t) for t in texts[600:]]) >= m.thresholds["en"]) == np.array(y[600:], bool)).mean()
+
+    trained = right(tx.train(texts[:600], y[:600], ["en"] * 600))
+    monkeypatch.setattr(tx, "EPOCHS", 0)
+    assert trained > 0.9 and trained - right(tx.train(texts[:600], y[:600], ["en"] * 600)) > 0.1
+
+
+def test_the_text_of_an_id_is_defined(spark):
+    rows = [(1, f"text {k}", "en") for k in range(20)] + [(2, "b", "en")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")
+    seen = []
+    real, tx.train = tx.train, lambda *a: seen.append(a) or real(*a)
+    try:
+        for order in (rows, rows[::-1]):
+            tx.fit(spark.createDataFrame(order, "doc_id bigint, text string, lang string").repartition(5), labels)
+    finally:
+        tx.train = real
+    assert seen[0] == seen[1] and seen[0][1].count(1) <= 1
+
+
 def test_no_labels_or_one_kind():
     assert tx.Scorer(tx.train([], [], [])).score("x") == 0
     assert tx.Scorer(tx.train(["a", "b"], [1, 1], [None, None])).score("x") == 1
@@ -60,6 +115,7 @@ def test_odd_rows(spark):
         out = tx.classify(df, model).collect()
         assert len(out) == df.count() and all(0 <= r.score <= 1 for r in out)
         assert len({r.score for r in out if r.doc_id == 2}) == 1
+        assert all(r.score_given == "x" and r.toxic_given == "x" for r in out)
     assert tx.classify(df.limit(0), model).collect() == []
     assert tx.fit(df.limit(0), labels).constant == 0
 
