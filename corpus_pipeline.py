@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
 return the columns that came in. A stage holds no state of the one before.
+
+Defined cases, in every stage: a null text is empty; null and repeated ids are
+told apart by their texts; repeated rows are rows of their own, of which the
+second stage keeps one; ties are broken by hashes of the rows, so reruns agree;
+an empty table gives an empty table; extra columns come back as they were.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rejected at or over the threshold of its language.
     """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.classify(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in ("score", "toxic") if c in docs.columns}
+    kept = toxicity.classify(docs.withColumnsRenamed(own), model).where(~F.col("toxic"))
+    return kept.withColumnsRenamed({"score": "_score", "toxic": "_toxic"} | {v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +58,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document without words costs nothing and stays once.
     """
     taken, _, _ = mixing.mix_documents(docs)
-    passes = taken.groupBy(F.col("doc_id").alias("_id")).agg(
+    passes = taken.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(
         F.when(F.sum("size") > 0, F.floor(F.sum("taken") / F.sum("size") + 0.5)).otherwise(1).cast("int").alias("_n")
     )
-    out = docs.join(passes.where("_n > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (mixing.tie_of() == F.col("_tie"))
+    out = docs.join(passes.where("_n > 0"), same)
     return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
