@@ -6,15 +6,16 @@ stands at either edge. Whether a run is chosen depends on its own words only,
 so equal passages have equal anchors wherever they stand. A text of fewer than
 ``K`` words, or one in which no run is chosen, has one anchor, the whole of it.
 
-The fingerprint is the ``SKETCH`` smallest distinct anchor hashes (all of them
-if there are fewer), in order, as hexadecimal cells. The likeness of two
-fingerprints is the share of the smallest ``SKETCH`` hashes of their union that
-both hold: the Jaccard likeness of the anchor sets, exact for texts with few
-anchors.
+The fingerprint has all anchors of a text in the order of their places, as
+hexadecimal cells of 32 bits; :func:`anchors` gives them with 64 bits and their
+places, for matching by position. The likeness of two fingerprints is the
+Jaccard likeness of their sets of anchors, none left out.
 
 Defined cases: a null text is empty; two texts without words are alike (1);
 equal texts have equal fingerprints; rows that repeat an id are ordered by a
-hash of their text; a null id comes last.
+hash of their text; a null id comes last; a very long text is one row, its
+anchors in proportion to its words; an empty table gives an empty result; only
+the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import WORD, table, whole_text
 
-#: Words of an anchor and of its inner runs, and hashes of a fingerprint.
-K, S, SKETCH = 5, 2, 128
-#: Documents of a range of ids, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 250, 4096
+#: Words of an anchor and of its inner runs.
+K, S = 5, 2
+#: Documents of a range of ids, and ranges at most; beyond that, ranges grow.
+RANGE_ROWS, MOST_RANGES = 250, 1 << 16
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,23 +64,24 @@ def anchors(text: Column) -> Column:
     return _anchored(text, lambda h, i: F.struct(h.alias("hash"), i.alias("place")))
 
 
-def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text."""
-    high = _anchored(text, lambda h, i: F.shiftrightunsigned(h, 32))
-    least = F.slice(F.sort_array(F.array_distinct(high)), 1, SKETCH)
-    return F.array_join(F.transform(least, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "-")
+def cells(text: Column) -> Column:
+    """The upper halves of the hashes of all anchors of ``text``, in order."""
+    return _anchored(text, lambda h, i: F.shiftrightunsigned(h, 32))
+
+
+def fingerprint(found: Column) -> Column:
+    """The fingerprint of a text as a string, from its :func:`cells`."""
+    return F.array_join(F.transform(found, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "-")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """How alike two fingerprints are, from 0 to 1."""
+    """How alike two texts are by their :func:`cells`, from 0 to 1."""
 
-    def of(x: Column) -> Column:
-        left, right = x["a"], x["b"]
-        union = F.slice(F.sort_array(F.array_union(left, right)), 1, SKETCH)
-        both = F.array_intersect(union, F.array_intersect(left, right))
-        return F.size(both) / F.size(union).cast("double")
+    def of(n: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return both / n.cast("double")
 
-    return _let(F.struct(F.split(a, "-").alias("a"), F.split(b, "-").alias("b")), of)
+    return _let(F.size(F.array_union(a, b)), of)
 
 
 def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
@@ -95,7 +97,7 @@ def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
     key = F.col(doc_id).cast("bigint")
     shares = [k / ranges for k in range(1, ranges)]
-    edges = docs.agg(F.percentile_approx(key, shares, 10_000)).first()[0] if shares else []
+    edges = docs.agg(F.percentile_approx(key, shares, max(10_000, 4 * ranges))).first()[0] if shares else []
     edges = sorted(set(edges or []))
     wide = 64
     coarse, fine = F.lit(edges[::wide] or [0]).cast("array<bigint>"), F.lit(edges or [0]).cast("array<bigint>")
@@ -130,25 +132,23 @@ def with_next(docs: DataFrame, doc_id: str, carried: list[str]) -> DataFrame:
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
-    docs = docs.withColumn("fingerprint", fingerprint(F.col("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    out = with_next(docs, "doc_id", ["text", "fingerprint"]).withColumn("edited", edited)
-    out = out.select(
+    # Only texts are shuffled; the next document's anchors are made again where its text has come to.
+    found = with_next(docs, "doc_id", ["text"]).select("doc_id", "text", "next_text", edited.alias("edited"))
+    found = found.select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        "next_fingerprint",
+        *[cells(F.col(c)).alias(f"{c}_cells") for c in ("text", "edited", "next_text")],
     )
-    return out.select(
+    return found.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        fingerprint(F.col("text_cells")).alias("fingerprint"),
+        fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
+        likeness(F.col("text_cells"), F.col("edited_cells")).alias("near_edited"),
+        likeness(F.col("text_cells"), F.col("next_text_cells")).alias("near_next"),
     )
