@@ -199,8 +199,12 @@ def ssim_parts(a: np.ndarray, b: np.ndarray, n: int = 11, sigma: float = 1.5) ->
     return float(light.mean()), float(form.mean())
 
 
+#: Fixed values of the configuration: the weight of each scale, finest first, and the window's side.
+MS_WEIGHTS, MS_WINDOW = (0.10, 0.30, 0.60), 11
+
+
 def ms_ssim(
-    a: np.ndarray, b: np.ndarray, weights: tuple[float, ...] = (0.0448, 0.2856, 0.3001), n: int = 7, sigma: float = 1.5
+    a: np.ndarray, b: np.ndarray, weights: tuple[float, ...] = MS_WEIGHTS, n: int = MS_WINDOW, sigma: float = 1.5
 ) -> float:
     """Similarity over scales: contrast-structure at each, luminance at the last."""
     w = np.array(weights) / sum(weights)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.config import Grid
+from quadrille.operators.normalization import exact_quantiles
 
 
 def windows(spark: SparkSession, grid: Grid) -> DataFrame:
@@ -73,7 +74,7 @@ def select_records(records: DataFrame, key: str, per_category: int, most: int, s
     earlier category has chosen is skipped and not replaced. What is missing
     up to ``most`` is filled in seeded order. Ties are in order of ``key``.
     """
-    middle = records.agg(F.median("mean").alias("_m"))
+    middle = exact_quantiles(records, ["mean"], [0.5]).agg(F.max("value").alias("_m"))
     # Read by each category, so kept; what an executor loses is computed again.
     rows = records.crossJoin(F.broadcast(middle)).withColumn("_from_median", F.abs(F.col("mean") - F.col("_m"))).drop("_m").persist()
     offers = None

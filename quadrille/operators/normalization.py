@@ -22,17 +22,19 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], accu
     below the bracket and groups the values inside, and only those (about
     4 / accuracy of the rows) are put in order.
     """
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    columns = [c for c in columns if counts[c]]
-
-    def marks(c: str) -> list[float]:
-        # The sketch's error, and the two neighbours that are interpolated.
-        slack = 2.0 / accuracy + 3.0 / counts[c]
-        return [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
-
-    sketch = df.agg(
-        F.lit(0), *[F.percentile_approx(F.col(c).cast("double"), marks(c), accuracy).alias(c) for c in columns]
+    # One pass: sizes, extremes and the sketch. Up to a few times ACCURACY values are ordered as they are.
+    x = {c: F.col(c).cast("double") for c in columns}
+    slack = 3.0 / accuracy
+    around = [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
+    seen = df.agg(
+        F.lit(0),
+        *[F.count(x[c]).alias(f"n_{c}") for c in columns],
+        *[F.array(F.min(x[c]), F.max(x[c])).alias(f"ends_{c}") for c in columns],
+        *[F.percentile_approx(x[c], around, accuracy).alias(c) for c in columns],
     ).first()
+    columns = [c for c in columns if seen[f"n_{c}"]]
+    counts = {c: seen[f"n_{c}"] for c in columns}
+    sketch = {c: seen[c] if counts[c] > 3 * accuracy else seen[f"ends_{c}"] * len(shares) for c in columns}
     cells = []
     for c in columns:
         for k, s in enumerate(shares):
@@ -65,21 +67,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], accu
     return ends.select("feature", "share", (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("value"))
 
 
-def fit_bounds(df: DataFrame, features: list[str], bounds: Bounds) -> DataFrame:
+def fit_bounds(df: DataFrame, features: list[str], bounds: Bounds, accuracy: int = ACCURACY) -> DataFrame:
     """One row: ``lower_f`` and ``upper_f`` of each feature; a span under epsilon is widened to it.
 
-    One pass with the built-in exact percentile; for inputs whose distinct
-    values do not fit one reducer use :func:`fit_bounds_large`.
+    By :func:`exact_quantiles`, in memory that does not grow with the rows.
     """
-    shares = F.array(F.lit(bounds.low / 100), F.lit(bounds.high / 100))
-    fitted = df.agg(*[F.percentile(F.col(f).cast("double"), shares).alias(f) for f in features])
-    return fitted.select(*[c for f in features for c in _pair(f, F.col(f)[0], F.col(f)[1], bounds)])
-
-
-def fit_bounds_large(df: DataFrame, features: list[str], bounds: Bounds) -> DataFrame:
-    """:func:`fit_bounds` by :func:`exact_quantiles`, in memory that does not grow with the rows."""
     shares = [bounds.low / 100, bounds.high / 100]
-    q = exact_quantiles(df, features, shares)
+    q = exact_quantiles(df, features, shares, accuracy)
     at = lambda f, s: F.max(F.when((F.col("feature") == f) & (F.col("share") == s), F.col("value")))
     wide = q.agg(*[at(f, s).alias(f"{n}_{f}") for f in features for n, s in zip("lh", shares, strict=True)])
     return wide.select(*[c for f in features for c in _pair(f, F.col(f"l_{f}"), F.col(f"h_{f}"), bounds)])

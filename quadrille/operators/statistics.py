@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.scoring import with_float
+from quadrille.operators.normalization import exact_quantiles
 
 
 def finite(x: Column) -> Column:
@@ -20,22 +21,32 @@ def unpivot(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("c")).select("c.feature", "c.value")
 
 
+#: Shares of the quantiles that records hold, and their names.
+QUANTILES = {"q01": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "q99": 0.99}
+
+
+def quantile_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """(``feature``, ``q01`` .. ``q99``) of the named columns, exact at any size."""
+    found = exact_quantiles(df, names, list(QUANTILES.values()))
+    at = lambda s: F.max(F.when(F.col("share") == s, F.col("value")))
+    return found.groupBy("feature").agg(*[at(s).alias(n) for n, s in QUANTILES.items()])
+
+
 def feature_statistics(df: DataFrame, names: list[str]) -> DataFrame:
-    """Counts, extremes, quantiles and moments of each feature, over its finite values."""
-    v = F.when(finite(F.col("value")), F.col("value"))
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    out = unpivot(df, names).groupBy("feature").agg(
-        F.count("*").alias("n"),
-        F.count(v).alias("finite_count"),
-        F.min(v).alias("minimum"),
-        q.alias("q"),
-        F.avg(v).alias("mean"),
-        F.max(v).alias("maximum"),
-        F.stddev_pop(v).alias("std"),
-        F.count_distinct(v).alias("distinct_values"),
-    )
-    quantiles = [F.col("q")[k].alias(n) for k, n in enumerate(("q01", "q25", "median", "q75", "q99"))]
-    return out.select("feature", "n", "finite_count", "minimum", *quantiles, "mean", "maximum", "std", "distinct_values")
+    """Counts, extremes, quantiles and moments of each feature, over its finite values; no rows for no input."""
+    x = {n: F.col(n).cast("double") for n in names}
+    values = df.select(*[F.when(finite(x[n]), x[n]).alias(n) for n in names])
+    cells = []
+    for n in names:
+        v = F.col(n)
+        moments = (F.count("*").alias("n"), F.count(v).alias("finite_count"), F.min(v).alias("minimum"), F.avg(v).alias("mean"), F.max(v).alias("maximum"), F.stddev_pop(v).alias("std"))
+        cells.append(F.struct(F.lit(n).alias("feature"), *moments))
+    moments = values.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*").where("n > 0")
+    different = unpivot(values, names).where("value is not null").distinct().groupBy("feature").agg(F.count("*").alias("distinct_values"))
+    # Each side has a row for each feature.
+    out = moments.join(quantile_columns(values, names), "feature", "left").join(different, "feature", "left")
+    out = out.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint")))
+    return out.select("feature", "n", "finite_count", "minimum", *QUANTILES, "mean", "maximum", "std", "distinct_values")
 
 
 def partial_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -73,13 +84,19 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def score_record(df: DataFrame, keys: list[str], score: str, thresholds: list[float], tolerance: float = 1e-6) -> DataFrame:
-    """Distribution of scores in each group; element-wise comparisons are in single precision."""
+def score_record(
+    df: DataFrame, keys: list[str], score: str, thresholds: list[float], tolerance: float = 1e-6, few: bool = False
+) -> DataFrame:
+    """Distribution of scores in each group; element-wise comparisons are in single precision.
+
+    ``few``: there are a few large groups by one key (splits), whose quantiles
+    are found by :func:`exact_quantiles`; else a group fits one task (an image).
+    """
     from quadrille.functions.hashing import threshold_column
 
     s = F.col(score)
     x = s.cast("double")
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.01, 0.25, 0.5, 0.75, 0.99)]))
+    q = F.lit(None) if few else F.percentile(x, F.array(*[F.lit(v) for v in QUANTILES.values()]))
     out = df.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.min(x).alias("minimum"),
@@ -93,7 +110,15 @@ def score_record(df: DataFrame, keys: list[str], score: str, thresholds: list[fl
         share(s >= with_float(0.90)).alias("high_fraction"),
         *[share(s >= with_float(t)).alias(threshold_column(t)) for t in thresholds],
     )
-    quantiles = [F.col("q")[k].alias(n) for k, n in enumerate(("q01", "q25", "median", "q75", "q99"))]
+    if few:
+        (key,) = keys
+        groups = [r[0] for r in df.select(key).distinct().collect()]
+        split = df.select(*[F.when(F.col(key).eqNullSafe(F.lit(g)), x).alias(f"g{k}") for k, g in enumerate(groups)])
+        shape = f"_key {dict(df.dtypes)[key]}, feature string"
+        named = df.sparkSession.createDataFrame([(g, f"g{k}") for k, g in enumerate(groups)], shape)
+        found = named.join(quantile_columns(split, [f"g{k}" for k in range(len(groups))]), "feature").drop("feature")
+        return out.drop("q").join(F.broadcast(found), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    quantiles = [F.col("q")[k].alias(n) for k, n in enumerate(QUANTILES)]
     return out.select("*", *quantiles).drop("q")
 
 
@@ -110,16 +135,44 @@ def clipping(df: DataFrame, keys: list[str], names: list[str], tolerance: float
     return out.withColumns({"zero_fraction": part("at_zero"), "one_fraction": part("at_one")})
 
 
+def in_ranges(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``_range``: rows of larger values have larger ranges, rows of equal values the same.
+
+    The ranges are cut at approximate quantiles, as many as the session has
+    shuffle partitions, so an order over all rows is one inside each range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / parts for k in range(1, parts)]
+    edges = sorted(set(df.agg(F.percentile_approx(value, shares).alias("e")).first()[0] or [])) if shares else []
+    kind = dict(df.dtypes)[value]
+    cells = F.lit(edges).cast(f"array<{kind}>") if edges else F.array().cast(f"array<{kind}>")
+    return df.withColumn("_range", F.coalesce(F.size(F.filter(cells, lambda e: e <= F.col(value))), F.lit(-1)))
+
+
+def before_ranges(df: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Of each range of ``df`` (see :func:`in_ranges`), what the ranges before it hold: (keys, _r, before_<c>)."""
+    each = df.groupBy(*keys, F.col("_range").alias("_r")).agg(*[F.sum(c).alias(c) for c in sums])
+    # As many rows as there are ranges, for each key.
+    w = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_r")
+    return each.select(*[F.col(k).alias(f"_{k}") for k in keys], "_r", *[(F.sum(c).over(w) - F.col(c)).alias(f"before_{c}") for c in sums])
+
+
 def average_rank(df: DataFrame, value: str, rank: str, keys: list[str] | None = None) -> DataFrame:
     """Ranks from 1; equal values get the mean of theirs.
 
-    Ranks are made on distinct values with their counts, so the ordered window
-    holds no more than those; rows get them by a join on the value.
+    Ranks are made on distinct values with their counts; without keys the
+    values are ordered range by range. Rows get ranks by a join on the value.
     """
     keys = keys or []
     grouped = df.groupBy(*keys, value).agg(F.count("*").alias("_m"))
-    w = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy(value)
-    ranks = grouped.withColumn(rank, F.sum("_m").over(w) - (F.col("_m") - 1) / 2.0).drop("_m")
+    if keys:
+        run = F.sum("_m").over(Window.partitionBy(*keys).orderBy(value))
+    else:
+        grouped = in_ranges(grouped, value)
+        offsets = F.broadcast(before_ranges(grouped, [], ["_m"]))
+        grouped = grouped.join(offsets, F.col("_range") == F.col("_r"))
+        run = F.col("before__m") + F.sum("_m").over(Window.partitionBy("_range").orderBy(value))
+    ranks = grouped.withColumn(rank, run - (F.col("_m") - 1) / 2.0)
     right = ranks.select(*[F.col(c).alias(f"_{c}") for c in (*keys, value)], rank)
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, value)]
     return df.join(right, on).drop(*[f"_{c}" for c in (*keys, value)])
@@ -162,7 +215,7 @@ def high_pairs(matrix: DataFrame, names: list[str], threshold: float) -> DataFra
 def distances(df: DataFrame, split: str, value: str, pairs: list[tuple[str, str]]) -> DataFrame:
     """Kolmogorov-Smirnov, Wasserstein and mean difference between pairs of splits.
 
-    Values are grouped first, so the ordered windows run over distinct values.
+    Values are grouped first, and the ordered windows run over distinct values, range by range.
     """
     names = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in pairs])
     rows = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(df.sparkSession.range(1).select(names.alias("pairs"))))
@@ -171,17 +224,26 @@ def distances(df: DataFrame, split: str, value: str, pairs: list[tuple[str, str]
     grouped = rows.groupBy(F.col("p.first").alias("first_split"), F.col("p.second").alias("second_split"), "v").agg(
         F.count_if(F.col("_s") == F.col("p.first")).alias("na"), F.count_if(F.col("_s") == F.col("p.second")).alias("nb")
     )
-    whole = Window.partitionBy("first_split", "second_split")
-    w = whole.orderBy("v")
-    share_of = lambda n: F.try_divide(F.sum(n).over(w), F.sum(n).over(whole))
-    steps = grouped.select(
-        "first_split",
-        "second_split",
+    keys = ["first_split", "second_split"]
+    grouped = in_ranges(grouped, "v")
+    whole = grouped.groupBy(*keys).agg(F.sum("na").alias("all_a"), F.sum("nb").alias("all_b"))
+    each = grouped.groupBy(*keys, F.col("_range").alias("_r")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("v").alias("least"))
+    # A row for each pair and range: what stands before the range, and the first value after it.
+    w = Window.partitionBy(*keys).orderBy("_r")
+    ends = each.select(
+        *keys, "_r", (F.sum("na").over(w) - F.col("na")).alias("_a"), (F.sum("nb").over(w) - F.col("nb")).alias("_b"), F.lead("least").over(w).alias("_next")
+    ).join(whole, keys)
+    ends = F.broadcast(ends.withColumnsRenamed({k: f"_{k}" for k in keys}))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_range") == F.col("_r")]
+    w = Window.partitionBy(*keys, "_range").orderBy("v")
+    share_of = lambda n: F.try_divide(F.col(f"_{n}") + F.sum(f"n{n}").over(w), F.col(f"all_{n}"))
+    steps = grouped.join(ends, on).select(
+        *keys,
         "v",
         "na",
         "nb",
-        (share_of("na") - share_of("nb")).alias("gap"),
-        (F.lead("v").over(w) - F.col("v")).alias("width"),
+        (share_of("a") - share_of("b")).alias("gap"),
+        (F.coalesce(F.lead("v").over(w), F.col("_next")) - F.col("v")).alias("width"),
     )
     mean = lambda n: F.try_divide(F.sum(F.col("v") * F.col(n)), F.sum(n))
     out = steps.groupBy("first_split", "second_split").agg(

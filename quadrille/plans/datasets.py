@@ -249,7 +249,12 @@ def unknown_features(spark, sf):
     return out.select(*[F.array_join(c, ",").alias(c) for c in out.columns])
 
 
-SQL["unknown_features"] = "select 'blur' as unknown, '' as missing, '' as disabled"
+_GROUPED = ", ".join(f"('{m}')" for g in FUSION.groups for m in (*g.members, "blur"))
+_KNOWN = ", ".join(f"('{f.name}', {str(f.enabled).lower()})" for f in FEATURES)
+SQL["unknown_features"] = f"""with g as (select distinct m from (values {_GROUPED}) t(m)), k as (select * from (values {_KNOWN}) t(f, on_))
+select coalesce((select string_agg(m, ',') from g where m not in (select f from k)), '') as unknown,
+ coalesce((select string_agg(f, ',') from k where on_ and f not in (select m from g)), '') as missing,
+ coalesce((select string_agg(m, ',') from g join k on f = m where not on_), '') as disabled"""
 
 
 def incremental_reuse(spark, sf):

@@ -139,7 +139,7 @@ def inspect(
     return Inspection(
         issues,
         records,
-        st.score_record(scores, ["split"], "score", list(thresholds), tolerance),
+        st.score_record(scores, ["split"], "score", list(thresholds), tolerance, few=True),
         group_stats,
         clipped,
         st.distances(scores, "split", "score", pairs),

@@ -247,7 +247,7 @@ def sample_windows(spark, sf):
     return grids.ranked(cells(spark, sf), ["vec_id"], order, 10).groupBy("vec_id").agg(F.count("*").alias("n"), F.count_distinct("row", "col").alias("places"))
 
 
-SQL["sample_windows"] = "select vec_id, cast(10 as bigint) as n, cast(10 as bigint) as places from embeddings"
+SQL["sample_windows"] = f"with {CELLS} select vec_id, least(10, count(*)) as n, least(10, count(distinct row * 1000 + col)) as places from cells group by vec_id"
 
 
 def sample_cap(spark, sf):

@@ -28,8 +28,9 @@ SQL["fit_bounds"] = f"with {LINES}, t as (select * from lines where split = 'tra
 
 
 def fit_bounds_large(spark, sf):
+    """As fit_bounds, with brackets so narrow that small inputs take the way of large ones."""
     train = lines(spark, sf).where("split = 'train'")
-    return rounded(nz.fit_bounds_large(train, NAMES, Bounds()))
+    return rounded(nz.fit_bounds(train, NAMES, Bounds(), accuracy=2000))
 
 
 SQL["fit_bounds_large"] = SQL["fit_bounds"]
@@ -211,7 +212,7 @@ SQL["image_record"] = f"with {CELLS} select split, vec_id, {_RECORD} from cells
 
 
 def split_record(spark, sf):
-    return rounded(st.score_record(cells(spark, sf), ["split"], "score", THRESHOLDS), 9)
+    return rounded(st.score_record(cells(spark, sf), ["split"], "score", THRESHOLDS, few=True), 9)
 
 
 SQL["split_record"] = f"with {CELLS} select split, {_RECORD} from cells group by split"
@@ -288,18 +289,19 @@ SQL["mean_difference"] = "select round(avg(value) filter (where event_type = 'cl
 
 def median_of_means(spark, sf):
     means = cells(spark, sf).groupBy("vec_id").agg(F.avg(F.col("score").cast("double")).alias("mean"))
-    return rounded(means.agg(F.median("mean").alias("median_mean")))
+    return rounded(nz.exact_quantiles(means, ["mean"], [0.5]).select(F.col("value").alias("median_mean")))
 
 
 SQL["median_of_means"] = f"with {CELLS}, m as (select avg({_X}) as mean from cells group by vec_id) select round(median(mean), 6) as median_mean from m"
 
 
 def empty_statistics(spark, sf):
-    """Statistics of no rows are zero where they are sums, and null where they are extremes."""
-    none = cells(spark, sf).where("vec_id < 0")
-    out = st.feature_statistics(none.select("v"), ["v"]).agg(F.count("*").alias("features"))
-    return out
+    """Statistics of events that never happen: sums are zero, extremes null, in each type's group of no values."""
+    none = table(spark, sf, "events").select("event_type", F.when(F.col("value") < -1e12, F.col("value")).alias("v"))
+    merged = st.merged_statistics(st.partial_statistics(none, ["event_type"], "v"), ["event_type"])
+    return rounded(merged.select("event_type", "parts", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "minimum", "maximum"))
 
 
-SQL["empty_statistics"] = "select cast(0 as bigint) as features"
+SQL["empty_statistics"] = """select event_type, cast(1 as bigint) as parts, count(v) as n, coalesce(avg(v), 0.0) as mean, coalesce(stddev_pop(v), 0.0) as std,
+min(v) as minimum, max(v) as maximum from (select event_type, case when value < -1e12 then value end as v from events) group by event_type"""
 del split_of, split_sql

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.config import Grid
 from quadrille.functions import hashing, pixels
@@ -53,6 +55,19 @@ def unsupported(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> D
 _MODES = {0: "L", 16: "RGB", 24: "RGBA"}
 
 
+@F.pandas_udf(T.BinaryType())
+def _in_rgb(channels: pd.Series, pixels: pd.Series) -> pd.Series:
+    """Pixel bytes with red first, from the decoder's, which have blue first."""
+
+    def turned(n, data):
+        if data is None or n not in (3, 4):
+            return data
+        cells = np.frombuffer(data, np.uint8).reshape(-1, int(n))
+        return cells[:, [2, 1, 0, 3][: int(n)]].tobytes()
+
+    return pd.Series([turned(n, data) for n, data in zip(channels, pixels, strict=True)])
+
+
 def read_images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, recursive: bool = True) -> DataFrame:
     """Decoded images with their file attributes; a file that cannot be decoded has readable = false.
 
@@ -75,8 +90,9 @@ def read_images(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
         F.when(ok, F.col("nChannels")).alias("channels"),
         F.when(ok, F.col("data")).alias("pixels"),
     )
+    plain_order = _in_rgb(F.col("channels"), F.col("pixels"))
     hashed = shaped.withColumn(
-        "content_hash", F.when(F.col("readable"), hashing.pixel_sha256(F.col("mode"), F.col("width"), F.col("height"), F.col("pixels")))
+        "content_hash", F.when(F.col("readable"), hashing.pixel_sha256(F.col("mode"), F.col("width"), F.col("height"), plain_order))
     )
     path = F.url_decode(F.replace(plain(F.col("uri")), F.lit("+"), F.lit("%2B")))
     joined = files.withColumn("_path", path).join(hashed, F.col("_path") == F.col("_origin"), "left").drop("_path", "_origin", "uri")

@@ -1,3 +1,4 @@
+import hashlib
 """Image files are written here by a small PNG encoder; no image library is needed."""
 
 import json
@@ -51,6 +52,7 @@ def test_a_sound_tree_has_no_issues(spark, tmp_path):
     assert rows[0].relative_path == "image test.PNG" and rows[0].image_id == "image test"
     assert rows[0].image_key.startswith("image_test__")
     assert bytes(rows[0].pixels[:3]) == bytes((90, 80, 70))
+    assert rows[0].content_hash == hashlib.sha256(b"RGB16x16" + bytes((70, 80, 90)) * 256).hexdigest()
 
 
 def test_size_duplicates_broken_files_and_counts(spark, tmp_path):
