@@ -58,7 +58,7 @@ K1, B = 1.2, 0.75
 #: Characters of a shard's texts, documents of a block, and terms of a shard that have block maxima.
 SHARD_CHARS, BLOCK, COMMON = 64_000_000, 32, 512
 #: Shards of the first round, and the share of a query's postings read before there is a threshold.
-FIRST_ROUND, HEAD = 2, 0.08
+FIRST_ROUND, HEAD = 1, 0.08
 #: Every ROW-th document id is a query; results of a query.
 QUERY_EVERY, TOP = 20, 10
 #: Terms counted before a task sends them on, and terms of a row of the dictionary.
@@ -158,15 +158,18 @@ class Shard:
         self.known, local = np.unique(code, return_inverse=True)
         self.known, self.term = self.known.astype(np.int64), local.astype(np.int32)
         del code, local
-        # By term: documents and weights.
+        # By term: documents, and what the term adds to their scores.
         order = np.argsort(self.term, kind="stable")
         doc = np.repeat(np.arange(len(turned), dtype=np.int32), n)
         self.doc = doc[order]
         tf = self.tf[order].astype(np.float64)
-        self.weight = (tf * (K1 + 1) / (tf + self.norm[self.doc])).astype(np.float32)
+        tf *= (K1 + 1) / (tf + self.norm[self.doc])
+        tf *= self.idf[self.known[self.term[order]]]
+        self.impact = tf.astype(np.float32)
+        del order, doc, tf
         df = np.bincount(self.term, minlength=len(self.known))
         self.first = np.concatenate([[0], np.cumsum(df)])
-        self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if len(df) else np.zeros(0, np.float32)
+        self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(df) else np.zeros(0, np.float32)
         common = np.argsort(-df, kind="stable")[:COMMON]
         self.common = np.full(len(df), -1, np.int32)
         self.common[common] = np.arange(len(common))
@@ -174,16 +177,15 @@ class Shard:
         self.dense = np.zeros((len(common), docs), np.float32)
         for i, t in enumerate(common.tolist()):
             a, b = self.first[t], self.first[t + 1]
-            self.dense[i, self.doc[a:b]] = self.weight[a:b]
+            self.dense[i, self.doc[a:b]] = self.impact[a:b]
         self.block_most = self.dense.reshape(len(common), docs // BLOCK, BLOCK).max(axis=2)
         self.place = np.full(len(df), -1, np.int32)
 
-    def _partial(self, local: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    def _partial(self, local: np.ndarray) -> np.ndarray:
         """What the terms ``local`` add to each document's score."""
-        lo, hi = self.first[local], self.first[local + 1]
-        posts = _ranges(lo, hi)
+        posts = _ranges(self.first[local], self.first[local + 1])
         self.read += len(posts)
-        return np.bincount(self.doc[posts], np.repeat(idf, hi - lo) * self.weight[posts], len(self.ids))
+        return np.bincount(self.doc[posts], self.impact[posts], len(self.ids))
 
     def _exact(self, docs: np.ndarray, local: np.ndarray, places: np.ndarray, idf: np.ndarray) -> np.ndarray:
         """The scores of ``docs``, summed in the order of the query's terms."""
@@ -210,8 +212,8 @@ class Shard:
         n = self.first[local + 1] - self.first[local]
         # The rarest first.
         turn = np.argsort(n, kind="stable")
-        rare, n, weights = local[turn], n[turn], idf[places[turn]]
-        rest = np.append(np.cumsum((weights * self.most[rare])[::-1])[::-1], 0.0) * (1 + SLACK)
+        rare, n = local[turn], n[turn]
+        rest = np.append(np.cumsum(self.most[rare][::-1], dtype=np.float64)[::-1], 0.0) * (1 + SLACK)
         read = np.cumsum(n)
         self.all += int(read[-1])
         # Terms without block maxima are read whatever the pivot.
@@ -219,7 +221,7 @@ class Shard:
         always, done, got = int(sparse[-1]) + 1 if len(sparse) else 0, 0, np.zeros(len(self.ids))
         if not least:
             done = max(int(np.searchsorted(read, read[-1] * HEAD)) + 1, always)
-            got = self._partial(rare[:done], weights[:done])
+            got = self._partial(rare[:done])
             some = min(len(got), 2 * k)
             head = np.argpartition(-got, some - 1)[:some] if some < len(got) else np.arange(len(got))
             scores = self._exact(head, local, places, idf)
@@ -229,19 +231,18 @@ class Shard:
         floor = least * (1 - SLACK) - 1e-9
         pivot = max(always, min(int(np.searchsorted(-rest, -floor, side="right")), len(rare)))
         if pivot > done:
-            got += self._partial(rare[done:pivot], weights[done:pivot])
+            got = got + self._partial(rare[done:pivot]) if done else self._partial(rare[:pivot])
             done = pivot
-        light = weights.astype(np.float32)
         docs = np.flatnonzero(got > 0)
         total = got[docs]
         while done < len(rare):
             # What the terms from the pivot on can add at most, by block; then some of them are read.
             later = self.common[rare[done:]]
-            bound = light[done:] @ self.block_most[later]
+            bound = self.block_most[later].sum(axis=0)
             kept = total + bound[docs // BLOCK] * (1 + SLACK) >= floor
             docs, total = docs[kept], total[kept]
             part = later[:PART]
-            total = total + light[done : done + PART] @ self.dense[part[:, None], docs]
+            total = total + self.dense[part[:, None], docs].sum(axis=0)
             self.read += len(part) * len(docs)
             done += PART
         if len(total) > k:
@@ -263,7 +264,9 @@ class Shard:
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """lo[0] .. hi[0] - 1, lo[1] .. hi[1] - 1, and so on."""
     n = hi - lo
-    return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+    out = np.repeat(lo - np.cumsum(n) + n, n)
+    out += np.arange(len(out))
+    return out
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
