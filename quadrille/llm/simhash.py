@@ -48,8 +48,8 @@ from quadrille.llm.common import cut, hot_keys, lookup, short_batches, table, wh
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Words hashed at once.
 BLOCK = 1 << 16
-#: Fingerprints of a unit of work, levels of one split, and levels of the first.
-UNIT, STEP, FIRST_STEP = 1 << 14, 4, 12
+#: Fingerprints of a unit of work, levels of one split, and least and most levels of the first.
+UNIT, STEP, FIRST_STEP = 1 << 16, 4, (6, 12)
 #: Node pairs, and rows, that a task handles at once.
 PAIRS, ROWS = 1 << 17, 1 << 16
 
@@ -232,9 +232,9 @@ def trie_links(prints: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> Dat
 
     zero = F.lit(0).cast("bigint")
     rows = prints.select(F.lit(0).alias("depth"), zero.alias("ka"), zero.alias("kb"), "fp", "node")
-    first = min(FIRST_STEP, max(0, -(-n // unit) - 1).bit_length())
-    if first:
-        rows = paired(rows, first)
+    # A unit has two nodes, and some nodes are fuller than others.
+    first = min(FIRST_STEP[1], max(FIRST_STEP[0], max(0, -(-4 * n // unit) - 1).bit_length()))
+    rows = paired(rows, first)
     key = ["ka", "kb"]
     settled = None
     for depth in range(first, 64 - STEP, STEP):
