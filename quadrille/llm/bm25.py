@@ -69,14 +69,30 @@ PART = 16
 SLACK = 1e-5
 
 _terms = re.compile(r"[^\W_]+").findall
+#: Bytes of ASCII that no term has become spaces.
+_PARTED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def terms(text: str) -> list[str]:
-    return _terms(text.lower())
+def terms(text: str) -> list[bytes]:
+    """The runs of letters and digits of the text in lower case, as UTF-8.
+
+    Texts are parted at ASCII separators as bytes; only pieces with other
+    characters are read character by character.
+    """
+    pieces = text.lower().encode("utf-8", "surrogatepass").translate(_PARTED).split()
+    if text.isascii():
+        return pieces
+    out: list[bytes] = []
+    for piece in pieces:
+        if piece.isascii():
+            out.append(piece)
+        else:
+            out += [w.encode("utf-8", "surrogatepass") for w in _terms(piece.decode("utf-8", "surrogatepass"))]
+    return out
 
 
-def _hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _hash(term: bytes) -> int:
+    return xxhash.xxh64_intdigest(term) - (1 << 63)
 
 
 class Shard:
@@ -85,7 +101,7 @@ class Shard:
     def __init__(self, mean: float, n: int):
         self.mean, self.n = mean, n
         self.pages: list[tuple[int, bytes, bytes]] = []
-        self.names: dict[str, int] = {}
+        self.names: dict[bytes, int] = {}
         self.codes: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.sizes: list[int] = []
@@ -108,7 +124,7 @@ class Shard:
         self.hashes = hashes[self.by_hash]
         self.idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
 
-    def _codes(self, words: list[str]) -> list[int]:
+    def _codes(self, words: list[bytes]) -> list[int]:
         got = [self.names.get(w) for w in words]
         new = [i for i, c in enumerate(got) if c is None]
         if new:
