@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -37,3 +42,22 @@ def test_query_equals_its_sql(spark, con, name):
 def test_entry_and_names(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("broken", (False, True))
+def test_without_the_corpus_modules(tmp_path, broken):
+    """Deleted modules are left out; modules that lack a dependency are an error."""
+    root = os.path.dirname(contract.__file__)
+    shutil.copytree(f"{root}/quadrille", tmp_path / "quadrille", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if broken:
+        (tmp_path / "quadrille/llm").mkdir()
+        (tmp_path / "quadrille/llm/__init__.py").write_text("")
+        (tmp_path / "quadrille/llm/registry.py").write_text("import a_module_that_is_not_there")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import __spark_entry__ as c; print(*c.queries(), *c.oracle_sql())"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
+    if broken:
+        assert run.returncode and "a_module_that_is_not_there" in run.stderr
+    else:
+        assert set(run.stdout.split()) == set(OWN) | set(contract.oracle_sql()) - {n for n in contract.oracle_sql() if n.startswith("op")}
