@@ -18,7 +18,7 @@ def main(args: list[str] | None = None) -> int:
         if name != "validate-config":
             p.add_argument("--data", required=True, help="folder with a folder for each split")
             p.add_argument("--out", required=True)
-    commands.choices["generate"].add_argument("--force", action="store_true", help="fit the bounds anew")
+    commands.choices["generate"].add_argument("--force", action="store_true", help="fit the bounds and make all labels anew")
     p = commands.add_parser("approve")
     p.add_argument("--out", required=True)
     p.add_argument("--reviewed", type=int, required=True)
@@ -56,7 +56,8 @@ def main(args: list[str] | None = None) -> int:
             lb.write_report(getattr(found, name), f"{a.out}/{name}")
     elif a.command == "generate":
         artifact = labeling.fit(images, settings.grid, settings.features, settings.bounds, f"{a.out}/bounds.json", a.force)
-        lb.write_labels(labeling.generate(images, artifact, settings.grid, settings.features, settings.fusion), f"{a.out}/labels", True)
+        made = labeling.generate_into(images, artifact, settings.grid, settings.features, settings.fusion, f"{a.out}/labels", a.force)
+        lb.write_report(made, f"{a.out}/manifest")
     else:
         sources = images.select("split", F.col("relative_path").alias("source_relative_path"))
         groups = [g.name for g in settings.fusion.groups]

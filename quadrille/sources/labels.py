@@ -66,9 +66,15 @@ def label_rows(scores: DataFrame, features: list[str], groups: list[str], metada
     return out.select(*[c for c in LABEL.fieldNames() if c in out.columns])
 
 
-def write_labels(labels: DataFrame, path: str, overwrite: bool = False, compressed: bool = True) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole at ``path``."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def write_labels(labels: DataFrame, path: str, overwrite: bool = False, compressed: bool = True, append: bool = False) -> None:
     """Parquet by split; the committer makes the files appear whole or not at all."""
-    writer = labels.write.partitionBy("split").mode("overwrite" if overwrite else "errorifexists")
+    writer = labels.write.partitionBy("split").mode("append" if append else "overwrite" if overwrite else "errorifexists")
     writer.option("compression", "zstd" if compressed else "none").parquet(path)
 
 

@@ -125,6 +125,39 @@ def test_labels_are_made_kept_and_checked(spark, tmp_path):
     assert sorted(r.status for r in status.collect()) == ["generated", "reused", "reused"]
 
 
+def test_labels_are_used_again(spark, tmp_path):
+    images = im.read_splits(spark, noisy(tmp_path))
+    artifact = labeling.fit(images, GRID, FEATURES, Bounds())
+    out = str(tmp_path / "labels")
+
+    def made(some, artifact=artifact, **options):
+        rows = labeling.generate_into(some, artifact, GRID, FEATURES, FUSION, out, **options)
+        assert rows.columns == labeling.MANIFEST
+        rows = rows.collect()
+        assert len({(r.split, r.image_key) for r in rows}) == len(rows) == lb.read_labels(spark, out).count()
+        return sorted((r.split, r.source_relative_path, r.status) for r in rows), rows
+
+    first, _ = made(images.where("split = 'train'"))
+    assert [r[2] for r in first] == ["generated"] * 3
+    second, rows = made(images)
+    assert [r[2] for r in second] == ["reused"] * 3 + ["generated"] * 3
+    labels = {(r.split, r.image_key): r for r in lb.read_labels(spark, out).collect()}
+    for r in rows:
+        label = labels[r.split, r.image_key]
+        s = np.array(label.score_map, np.float64)
+        got = [r.score_min, r.score_max, r.score_mean, r.score_standard_deviation, r.score_sum, r.score_squared_sum]
+        assert np.allclose(got, [s.min(), s.max(), s.mean(), s.std(), s.sum(), (s * s).sum()], atol=1e-12)
+        assert (r.score_count, r.grid_height, r.grid_width) == (9, 3, 3)
+        meta = json.loads(label.metadata_json)
+        assert (meta["split"], meta["source_relative_path"]) == (r.split, r.source_relative_path)
+        assert meta["source_state"]["file_size_bytes"] > 0 and meta["feature_names"] == ["entropy", "variance"]
+    assert [r[2] for r in made(images)[0]] == ["reused"] * 6
+    # Other settings, or a demand, make all anew.
+    other = labeling.fit(images, GRID, FEATURES, Bounds(5.0, 95.0))
+    assert [r[2] for r in made(images, other)[0]] == ["generated"] * 6
+    assert [r[2] for r in made(images, other, overwrite=True)[0]] == ["generated"] * 6
+
+
 def test_a_bad_number_is_an_issue(spark):
     good = [[0.5] * 3] * 3
     rows = []
