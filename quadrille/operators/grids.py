@@ -50,8 +50,13 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sample_rows(df: DataFrame, seed: int, key: list[str], n: int) -> DataFrame:
-    """``n`` rows without replacement, by a seeded hash of their key; all of them if there are no more."""
+def sample_rows(df: DataFrame, seed: int, key: list[str], n: int, total: int | None = None) -> DataFrame:
+    """``n`` rows without replacement, by a seeded hash of their key; all of them if there are no more.
+
+    ``total`` is the number of rows, where it is known: rows that all stay are not put in order.
+    """
+    if total is not None and total <= n:
+        return df
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
 
 

@@ -5,6 +5,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 
@@ -39,6 +40,17 @@ def test_query_equals_its_sql(spark, con, name):
     assert sorted((tuple(_value(r[c]) for c in sorted(columns)) for r in rows), key=repr) == want
 
 
+def test_sample_cap_keeps_all_clicks_of_a_large_table(spark, con, tmp_path):
+    """Over half a million clicks, each of which the SQL counts."""
+    kind = F.when(F.col("id") % 7 == 0, "view").when(F.col("id") % 7 == 1, None).otherwise("click")
+    events = spark.range(840_000).select(F.col("id").alias("event_id"), kind.alias("event_type"), (F.col("id") % 97 / 100).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = contract.queries()["sample_cap"](spark, str(tmp_path)).collect()
+    sql = contract.oracle_sql()["sample_cap"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.execute(sql).fetchall()
+    assert got[0].kept == 600_000 and got[0].sampled == 1000
+
+
 def test_entry_and_names(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
