@@ -30,17 +30,18 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quadrille.llm.common import short_batches, spare, table, whole_text
+from quadrille.llm.common import short_batches, spare, table, tidy, whole_text
 
-#: Chunks and pieces that a worker remembers: two generations of so many, of
+#: Chunks and pieces that a task remembers: two generations of so many, of
 #: this length at most.
 MEMO, LONGEST = 350_000, 40
 #: Bytes of a word up to which its ranks are scanned.
@@ -86,6 +87,10 @@ class WordBpe:
         self.old: dict[str, tuple] = {}
         self.new: dict[str, tuple] = {}
 
+    def forget(self) -> None:
+        """Empties the memo, which would else fill the worker's memory during other stages."""
+        self.old, self.new = {}, {}
+
     def merge(self, word: str) -> list[int]:
         """The ids of a word of one character or more."""
         data = word.encode("utf-8", "surrogatepass")
@@ -202,10 +207,20 @@ class WordBpe:
 
 @lru_cache(maxsize=1)
 def loaded(path: str) -> WordBpe:
-    """The encoder of this process: tasks of one worker share it and its memo."""
+    """The encoder of this process: tasks of one worker share it, with an empty memo each (see :func:`for_task`)."""
     return WordBpe(path)
 
 
+@contextmanager
+def for_task(path: str) -> Iterator[WordBpe]:
+    """The encoder of this process, whose memo goes with the task: idle workers live on for other stages."""
+    bpe = loaded(path)
+    try:
+        yield bpe
+    finally:
+        bpe.forget()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -220,14 +235,14 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     schema = T.StructType([*docs.drop(text).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for batch in batches:
-            ids = pa.array([bpe.encode(t) for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [c for i, c in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, ids], names=[*names, "ids"])
+        with for_task(path) as bpe:
+            for batch in batches:
+                ids = pa.array([bpe.encode(t) for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
+                rest = [c for i, c in enumerate(batch.columns) if i != at]
+                names = [c for i, c in enumerate(batch.schema.names) if i != at]
+                yield pa.RecordBatch.from_arrays([*rest, ids], names=[*names, "ids"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -238,14 +253,14 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     schema = T.StructType([*docs.drop(ids).schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for batch in batches:
-            texts = pa.array([bpe.decode(i or []) for i in batch.column(at).to_pylist()], pa.string())
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [c for i, c in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, texts], names=[*names, "decoded"])
+        with for_task(path) as bpe:
+            for batch in batches:
+                texts = pa.array([bpe.decode(i or []) for i in batch.column(at).to_pylist()], pa.string())
+                rest = [c for i, c in enumerate(batch.columns) if i != at]
+                names = [c for i, c in enumerate(batch.schema.names) if i != at]
+                yield pa.RecordBatch.from_arrays([*rest, texts], names=[*names, "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,12 +274,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for batch in batches:
-            n, ids, text = zip(*[bpe.digest(t) for t in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        with for_task(path) as bpe:
+            for batch in batches:
+                n, ids, text = zip(*[bpe.digest(t) for t in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((),) * 3
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return docs.mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import hot_keys, lookup, short_batches, stored, whole_text
+from quadrille.llm.common import hot_keys, lookup, short_batches, stored, tidy, whole_text
 from quadrille.llm.simhash import components, simhash, trie_links
 
 #: Words of a shingle, and the least likeness of linked documents.
@@ -100,7 +100,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 names=["row", "node", "n", "bands", "fp"],
             )
 
-    return docs.mapInArrow(run, "row bigint, node bigint, n bigint, bands array<bigint>, fp bigint")
+    return docs.mapInArrow(tidy(run), "row bigint, node bigint, n bigint, bands array<bigint>, fp bigint")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
                 [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"]
             )
 
-    return texts.mapInArrow(run, "node bigint, set array<bigint>")
+    return texts.mapInArrow(tidy(run), "node bigint, set array<bigint>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
@@ -153,7 +153,7 @@ def _bounds(sets: DataFrame, open_nodes: DataFrame) -> DataFrame:
             )
 
     return near.join(own, "node", "left").select("node", "set", "own").mapInArrow(
-        run, "node bigint, common bigint, cells array<int>"
+        tidy(run), "node bigint, common bigint, cells array<int>"
     )
 
 

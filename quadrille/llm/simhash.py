@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut, hot_keys, lookup, short_batches, table, whole_text
+from quadrille.llm.common import cut, hot_keys, lookup, short_batches, table, tidy, whole_text
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -255,7 +255,7 @@ def trie_links(prints: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _unit_links(batches, budget)
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return dealt.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import short_batches, spare, table, whole_text
+from quadrille.llm.common import short_batches, spare, table, tidy, whole_text
 
 #: Labelled documents that training reads at most.
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = pa.array([scorer.score(t or "") for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:

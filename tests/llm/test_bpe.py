@@ -1,6 +1,7 @@
 import random
 import hashlib
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tests.llm.data import odd_documents
@@ -73,3 +74,17 @@ def test_one_chunk_of_a_million_characters():
     text = "".join(random.Random(5).choices("abcdeinorst", k=1_000_000))
     ids = bpe_.encode(text)
     assert "".join(bpe_.tokens[i] for i in ids).replace("</w>", "") == text
+
+
+def test_workers_keep_no_memo_after_their_tasks(spark):
+    """Workers are used again; what they kept of one stage would stand beside the memory of the next."""
+    path = bpe.tokenizer_path()
+    docs = spark.range(64).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 200), x -> concat('w', id * 200 + x))) as text")
+    assert bpe.encode_documents(docs.repartition(16), path).count() == 64
+
+    def held(batches):
+        for batch in batches:
+            n = len(bpe.loaded(path).new) + len(bpe.loaded(path).old)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert spark.range(64).repartition(16).mapInArrow(held, "n bigint").agg({"n": "max"}).first()[0] == 0
