@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import short_batches, spare, table, tidy, whole_text
+from quadrille.llm.common import give_back, short_batches, spare, table, tidy, whole_text
 
 #: Labelled documents that training reads at most.
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
@@ -143,7 +143,15 @@ class Scorer:
 
 
 def train(texts: list[str], toxic: list[int], langs: list[str | None]) -> Model:
-    """The classifier of labelled texts."""
+    """The classifier of labelled texts; the driver keeps no more of the training than that."""
+    try:
+        return _taught(texts, toxic, langs)
+    finally:
+        give_back()
+
+
+def _taught(texts: list[str], toxic: list[int], langs: list[str | None]) -> Model:
+    """The network and its thresholds."""
     y = np.array(toxic, np.float32)
     none = Model(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), {}, {}, np.zeros(0), 0.0)
     if not len(y) or y.min() == y.max():
@@ -154,9 +162,10 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None]) -> Model:
     docs = []
     for t in texts:
         ids = [memo.get(c) or memo.setdefault(c, buckets(c)) for c in t.split()] + [(-1, -1)] * pad
-        docs.append(np.array(ids or [(-1, -1)], np.int64).reshape(-1, 2))
+        docs.append(np.array(ids or [(-1, -1)], np.int32).reshape(-1, 2))
         if len(docs[-1]) <= pad:
-            docs[-1] = np.concatenate([docs[-1], np.full((1, 2), -1)])
+            docs[-1] = np.concatenate([docs[-1], np.full((1, 2), -1, np.int32)])
+    del memo
     aside = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % CALIBRATE == 0 for t in texts])
     if y[aside].min(initial=1) == y[aside].max(initial=0) or y[~aside].min(initial=1) == y[~aside].max(initial=0):
         # Too few rows to set some aside.
@@ -184,7 +193,8 @@ def _trained(docs: list[np.ndarray], y: np.ndarray) -> Model:
     rows = []
     for d in docs:
         i = np.searchsorted(keys, d)
-        rows.append(np.where((i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] == d), i + 1, 0) if len(keys) else np.zeros_like(d))
+        row = np.where((i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] == d), i + 1, 0) if len(keys) else np.zeros_like(d)
+        rows.append(row.astype(np.int32))
     _fit(model, rows, y, rng)
     return model
 

@@ -1,6 +1,9 @@
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import toxicity as tx
@@ -132,3 +135,25 @@ def test_training_rows_are_bounded_and_not_held_out(spark):
         tx.train = real
     out = {r.doc_id for r in docs.where(tx.held_out(F.col("doc_id"))).collect()}
     assert len(seen) == 30 and not {texts[k] for k in out} & set(seen)
+
+
+GROWN = """
+import random
+from quadrille.llm import toxicity
+
+def mb():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+toxicity.train(["a b", "c d"] * 20, [0, 1] * 20, ["en"] * 40)
+rng = random.Random(3)
+texts = [" ".join("".join(rng.choices("abcdefghijkl", k=6)) for _ in range(500)) + f" t{k % 2}" for k in range(600)]
+before = mb()
+model = toxicity.train(texts, [k % 2 for k in range(600)], ["en"] * 600)
+print(mb() - before - model.vectors.nbytes / 1e6)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_training_gives_its_memory_back():
+    out = subprocess.run([sys.executable, "-c", GROWN], capture_output=True, text=True, check=True, timeout=300)
+    assert float(out.stdout) < 25
