@@ -13,9 +13,17 @@ and the few that still reach it are scored anew, exactly, in one order of
 terms, so equal texts have equal scores in every shard. This is WAND's test
 with block maxima, taken for all documents of a shard at once.
 
+Only queries of under ``SHORT`` terms are searched one by one in that way. The
+others are searched ``TOGETHER``, over groups of documents of like terms and
+lengths: a group's commonest terms are held whole, so what they add to all
+scores is a product of two matrices, and the others are added from their
+postings. The test with block maxima is made for each query and each tile of
+``TILE`` documents, before the product; the sums of floats are taken with the
+error that they may have, and what still reaches the threshold is scored anew.
+
 The threshold is the k-th best score known: first that of the documents best
 by their rarest terms, and from the second round on that of all shards before.
-Shards are searched in rounds of doubling numbers, and a shard sends on only
+Shards are searched in rounds of doubling numbers, from one for each core on, and a shard sends on only
 rows that reach the threshold, so a query's rows grow with the number of
 rounds, not of shards.
 
@@ -57,8 +65,16 @@ from quadrille.llm.common import short_batches, stored, table, whole_text
 K1, B = 1.2, 0.75
 #: Characters of a shard's texts, documents of a block, and terms of a shard that have block maxima.
 SHARD_CHARS, BLOCK, COMMON = 64_000_000, 32, 512
-#: Shards of the first round, and the share of a query's postings read before there is a threshold.
-FIRST_ROUND, HEAD = 1, 0.08
+#: The share of a query's postings read before there is a threshold.
+HEAD = 0.08
+#: Documents of a group and of its tiles, kinds that a shard's documents are dealt to by their terms, and rounds of that dealing.
+GROUP, TILE, KINDS, DEALINGS = 4096, 512, 8, 4
+#: A group's terms with postings for one in DENSITY of its documents are held whole, FULL terms at most.
+DENSITY, FULL = 30, 1024
+#: Queries searched together, and cells of a matrix held at once.
+TOGETHER, CELLS = 256, 24_000_000
+#: Queries of fewer terms are searched one by one.
+SHORT = 24
 #: Every ROW-th document id is a query; results of a query.
 QUERY_EVERY, TOP = 20, 10
 #: Terms counted before a task sends them on, and terms of a row of the dictionary.
@@ -67,6 +83,8 @@ COUNTED, PAGE = 500_000, 8192
 PART = 16
 #: What sums of doubles and of floats may be off by, as a share.
 SLACK = 1e-5
+#: What one addition of floats may be off by, as a share.
+ROUNDING = 6e-8
 
 _terms = re.compile(r"[^\W_]+").findall
 
@@ -131,9 +149,10 @@ class Shard:
         counts = Counter(words)
         codes = np.array(self._codes(list(counts)), np.int32)
         tf = np.fromiter(counts.values(), np.int32, len(counts))
-        known = codes >= 0
-        self.codes.append(codes[known])
-        self.counts.append(tf[known])
+        order = codes.argsort()
+        order = order[codes[order] >= 0]
+        self.codes.append(codes[order])
+        self.counts.append(tf[order])
         self.sizes.append(len(words))
         self.many.append(1)
 
@@ -141,33 +160,33 @@ class Shard:
         if self.hashes is None:
             self._open()
         self.names, self.hashes, self.by_hash = {}, None, None
-        # Documents with one commonest term and like lengths stand together, so blocks differ more in their maxima.
-        top = [int(c[t.argmax()]) if len(c) else -1 for c, t in zip(self.codes, self.counts, strict=True)]
-        turned = np.lexsort((np.array(self.sizes, np.int64), np.array(top, np.int64))).tolist()
+        # Documents of like terms and lengths stand together, so blocks and groups differ more in their maxima.
+        kinds = self._kinds()
+        turned = np.lexsort((np.array(self.sizes, np.int64), kinds)).tolist()
         ids = [k[0] for k in self.rows]
         self.ids = [ids[i] for i in turned]
         self.many = [self.many[i] for i in turned]
         size = np.array([self.sizes[i] for i in turned], np.float64)
-        self.norm = K1 * (1 - B + B * size / self.mean)
-        # By document: local terms and counts.
+        norm = K1 * (1 - B + B * size / self.mean)
+        # By document: local terms, ascending, and what each adds to its score.
         n = np.array([len(self.codes[i]) for i in turned], np.int64)
         self.at = np.concatenate([[0], np.cumsum(n)])
         code = np.concatenate([self.codes[i] for i in turned]) if len(turned) else np.zeros(0, np.int32)
-        self.tf = np.concatenate([self.counts[i] for i in turned]) if len(turned) else np.zeros(0, np.int32)
+        tf = np.concatenate([self.counts[i] for i in turned]) if len(turned) else np.zeros(0, np.int32)
         self.codes, self.counts, self.rows = [], [], {}
-        self.known, local = np.unique(code, return_inverse=True)
-        self.known, self.term = self.known.astype(np.int64), local.astype(np.int32)
-        del code, local
+        known, local = np.unique(code, return_inverse=True)
+        self.term = local.astype(np.int32)
+        self.local = np.full(len(self.idf), -1, np.int32)
+        self.local[known] = np.arange(len(known), dtype=np.int32)
+        tf = tf.astype(np.float64)
+        self.weight = self.idf[code] * (tf * (K1 + 1) / (tf + np.repeat(norm, n)))
+        del code, local, tf
         # By term: documents, and what the term adds to their scores.
         order = np.argsort(self.term, kind="stable")
-        doc = np.repeat(np.arange(len(turned), dtype=np.int32), n)
-        self.doc = doc[order]
-        tf = self.tf[order].astype(np.float64)
-        tf *= (K1 + 1) / (tf + self.norm[self.doc])
-        tf *= self.idf[self.known[self.term[order]]]
-        self.impact = tf.astype(np.float32)
-        del order, doc, tf
-        df = np.bincount(self.term, minlength=len(self.known))
+        self.doc = np.repeat(np.arange(len(turned), dtype=np.int32), n)[order]
+        self.impact = self.weight[order].astype(np.float32)
+        del order
+        df = np.bincount(self.term, minlength=len(known))
         self.first = np.concatenate([[0], np.cumsum(df)])
         self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(df) else np.zeros(0, np.float32)
         common = np.argsort(-df, kind="stable")[:COMMON]
@@ -179,7 +198,71 @@ class Shard:
             a, b = self.first[t], self.first[t + 1]
             self.dense[i, self.doc[a:b]] = self.impact[a:b]
         self.block_most = self.dense.reshape(len(common), docs // BLOCK, BLOCK).max(axis=2)
-        self.place = np.full(len(df), -1, np.int32)
+        self.asked = np.zeros(len(df), bool)
+        self._group(kinds[turned])
+
+    def _kinds(self) -> np.ndarray:
+        """A number for each document, equal for documents that share many common terms."""
+        n, docs = np.array([len(c) for c in self.codes], np.int64), len(self.codes)
+        code = np.concatenate(self.codes) if docs else np.zeros(0, np.int32)
+        df = np.bincount(code, minlength=1)
+        common = np.argsort(-df, kind="stable")[: min(256, max(16, CELLS // max(1, docs)))]
+        if docs <= GROUP:
+            return np.zeros(docs, np.int64)
+        column = np.full(len(df), -1, np.int32)
+        column[common] = np.arange(len(common))
+        has = np.zeros((docs, len(common)), np.float32)
+        at = column[code]
+        has[np.repeat(np.arange(docs), n)[at >= 0], at[at >= 0]] = 1
+        has /= np.sqrt(np.maximum(has.sum(axis=1, keepdims=True), 1))
+        centre = has[:: max(1, docs // KINDS)][:KINDS]
+        for _ in range(DEALINGS):
+            kind = (has @ centre.T).argmax(axis=1)
+            centre = np.stack([has[kind == i].sum(axis=0) for i in range(len(centre))])
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        return kind
+
+    def _group(self, kinds: np.ndarray) -> None:
+        """Groups of documents: where their postings of a term are, its largest weight there, and the common terms whole."""
+        edges = np.flatnonzero(np.diff(kinds, prepend=-1, append=-1))
+        starts = [a for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for a in range(lo, hi, max(1, GROUP))]
+        self.starts = [*starts, len(kinds)]
+        terms, groups = len(self.first) - 1, len(starts)
+        term = np.repeat(np.arange(terms), np.diff(self.first))
+        group = np.searchsorted(np.array(starts), self.doc, side="right") - 1
+        df = np.bincount(group * terms + term, minlength=groups * terms).reshape(groups, terms)
+        # By group and term: the documents, counted from the group's first, beside what the term adds, in eight bytes.
+        order = np.argsort(group, kind="stable")
+        pairs = np.empty((len(order), 2), np.int32)
+        pairs[:, 0] = (self.doc - np.array(starts, np.int32)[group])[order] if groups else 0
+        pairs[:, 1] = self.impact.view(np.int32)[order]
+        self.pairs = pairs.view(np.int64).ravel()
+        self.cut = np.concatenate([[0], np.cumsum(df)]).astype(np.int32)
+        self.top = np.zeros((groups, terms), np.float32)
+        edge = np.flatnonzero(np.diff(term * max(1, groups) + group, prepend=-1))
+        if len(edge):
+            self.top[group[edge], term[edge]] = np.maximum.reduceat(self.impact, edge)
+        del term, group, edge, order
+        self.part = np.zeros(0, np.float32)
+        self.column, self.whole = np.full((groups, terms), -1, np.int16), []
+        full = min(FULL, max(16, CELLS // max(1, len(kinds))))
+        for g in range(groups):
+            a, b = self.starts[g], self.starts[g + 1]
+            common = np.flatnonzero(df[g] * DENSITY >= b - a)
+            common = common[np.argsort(-df[g][common], kind="stable")[:full]]
+            self.column[g, common] = np.arange(len(common))
+            whole = np.zeros((len(common), b - a), np.float32)
+            doc, impact, n = self._posts(g, common)
+            whole[np.repeat(np.arange(len(common)), n), doc] = impact
+            tiles = np.arange(0, b - a, TILE)
+            self.whole.append((whole, tiles, np.maximum.reduceat(whole, tiles, axis=1)))
+
+    def _posts(self, g: int, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The postings of the terms ``local`` in a group: documents, what they get, and the number for each term."""
+        lo = self.cut[local + g * (len(self.first) - 1)]
+        hi = self.cut[local + (g * (len(self.first) - 1) + 1)]
+        pairs = self.pairs.take(_ranges(lo, hi))
+        return pairs.view(np.int32)[::2], pairs.view(np.float32)[1::2], hi - lo
 
     def _partial(self, local: np.ndarray) -> np.ndarray:
         """What the terms ``local`` add to each document's score."""
@@ -187,28 +270,22 @@ class Shard:
         self.read += len(posts)
         return np.bincount(self.doc[posts], self.impact[posts], len(self.ids))
 
-    def _exact(self, docs: np.ndarray, local: np.ndarray, places: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """The scores of ``docs``, summed in the order of the query's terms."""
-        self.place[local] = places
+    def _exact(self, docs: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """The scores of ``docs``, summed in one order of terms."""
+        self.asked[local] = True
         lo, hi = self.at[docs], self.at[docs + 1]
         rows = _ranges(lo, hi)
-        at = self.place[self.term[rows]]
-        of = np.repeat(np.arange(len(docs)), hi - lo)
-        has = at >= 0
-        rows, at, of = rows[has], at[has], of[has]
-        tf = self.tf[rows].astype(np.float64)
-        cells = np.zeros((len(docs), len(idf)))
-        cells[of, at] = idf[at] * (tf * (K1 + 1) / (tf + self.norm[docs[of]]))
-        self.place[local] = -1
-        return np.round(cells.sum(axis=1), 9)
+        has = self.asked[self.term[rows]]
+        of = np.repeat(np.arange(len(docs)), hi - lo)[has]
+        self.asked[local] = False
+        return np.round(np.bincount(of, self.weight[rows[has]], len(docs)), 9)
 
     def search(self, query: np.ndarray, k: int, least: float = 0.0) -> list[tuple[float, int | None]]:
         """The k best (score, document id) that reach ``least``; ``query`` has term numbers, ascending."""
-        at = np.minimum(np.searchsorted(self.known, query), max(0, len(self.known) - 1))
-        places = np.flatnonzero(self.known[at] == query) if len(self.known) else np.zeros(0, np.int64)
-        if not len(places):
+        local = self.local[query]
+        local = local[local >= 0]
+        if not len(local):
             return []
-        idf, local = self.idf[query], at[places]
         n = self.first[local + 1] - self.first[local]
         # The rarest first.
         turn = np.argsort(n, kind="stable")
@@ -224,7 +301,7 @@ class Shard:
             got = self._partial(rare[:done])
             some = min(len(got), 2 * k)
             head = np.argpartition(-got, some - 1)[:some] if some < len(got) else np.arange(len(got))
-            scores = self._exact(head, local, places, idf)
+            scores = self._exact(head, local)
             copies = np.repeat(scores, np.minimum([self.many[i] for i in head.tolist()], k))
             if len(copies) >= k:
                 least = max(least, float(np.partition(copies, len(copies) - k)[len(copies) - k]))
@@ -251,15 +328,89 @@ class Shard:
         docs = docs[total >= floor * (1 - SLACK)]
         if not len(docs):
             return []
-        scores = self._exact(docs, local, places, idf)
+        return self._best(docs, self._exact(docs, local), k, least)
+
+    def _best(self, docs: np.ndarray, scores: np.ndarray, k: int, least: float) -> list[tuple[float, int | None]]:
         best = []
-        for i in np.lexsort(([-1 if self.ids[d] is None else self.ids[d] for d in docs.tolist()], [self.ids[d] is not None for d in docs.tolist()], -scores)).tolist():
+        ids = [self.ids[d] for d in docs.tolist()]
+        for i in np.lexsort(([-1 if d is None else d for d in ids], [d is not None for d in ids], -scores)).tolist():
             if scores[i] <= 0 or scores[i] < least or len(best) >= k:
                 break
-            d = int(docs[i])
-            best += [(float(scores[i]), self.ids[d])] * min(self.many[d], k - len(best))
+            best += [(float(scores[i]), ids[i])] * min(self.many[int(docs[i])], k - len(best))
         return best
 
+    def search_many(self, queries: list[np.ndarray], k: int, least: list[float]) -> list[list[tuple[float, int | None]]]:
+        """What :meth:`search` finds for each query; all are scored together, group by group.
+
+        A group is left out for a query if the sum of its largest weights
+        there stays below the query's threshold.
+        """
+        row = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        local = self.local[np.concatenate(queries)]
+        row, local = row[local >= 0], local[local >= 0]
+        self.all += int((self.first[local + 1] - self.first[local]).sum())
+        # A sum of floats has as many additions as a query's terms, or a group's common terms, at most.
+        loose = 1 + ROUNDING * (np.array([len(q) for q in queries]) + FULL + 16)
+        floor = np.maximum(np.array(least) / loose - 1e-9, 1e-30)
+        best = np.zeros((len(queries), k), np.float32)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for g, (whole, tiles, most) in enumerate(self.whole):
+            a, docs = self.starts[g], whole.shape[1]
+            live = np.flatnonzero(np.bincount(row, self.top[g][local], len(queries)) * loose >= floor)
+            if not len(live):
+                continue
+            place = np.full(len(queries), -1)
+            place[live] = np.arange(len(live))
+            at = place[row]
+            at, term = at[at >= 0], local[at >= 0]
+            column = self.column[g][term]
+            common = column >= 0
+            asked = np.zeros((len(live), len(whole)), np.float32)
+            asked[at[common], column[common]] = 1
+            at, rare = at[~common], term[~common]
+            doc, impact, n = self._posts(g, rare)
+            where = np.repeat(at * docs, n)
+            where += doc
+            if len(self.part) < len(live) * docs:
+                self.part = np.zeros(len(live) * docs, np.float32)
+            part = self.part[: len(live) * docs]
+            part.fill(0)
+            np.add.at(part, where, np.ascontiguousarray(impact))
+            part = part.reshape(-1, docs)
+            self.read += len(where)
+            bound = (asked @ most + np.maximum.reduceat(part, tiles, axis=1)) * loose[live, None]
+            for i, first in enumerate(tiles.tolist()):
+                near = np.flatnonzero(bound[:, i] >= floor[live])
+                if not len(near):
+                    continue
+                total = asked[near] @ whole[:, first : first + TILE]
+                total += part[near, first : first + TILE]
+                self.read += len(near) * total.shape[1] * len(whole)
+                own = live[near]
+                reach = total >= floor[own, None]
+                many = np.flatnonzero(np.count_nonzero(reach, axis=1) > k)
+                if len(many):
+                    # Counting documents never overstates the rows that they stand for.
+                    top = np.hstack([best[own[many]], np.partition(total[many], total.shape[1] - k, axis=1)[:, -k:]])
+                    best[own[many]] = top = np.partition(top, k, axis=1)[:, k:]
+                    floor[own[many]] = np.maximum(floor[own[many]], top.min(axis=1) / loose[own[many]] ** 3)
+                    reach[many] = total[many] >= floor[own[many], None]
+                r, d = np.nonzero(reach)
+                found.append((own[r], d + (a + first), total[r, d]))
+        out: list[list[tuple[float, int | None]]] = [[] for _ in queries]
+        if not found:
+            return out
+        rows, docs, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = np.flatnonzero(scores >= floor[rows])
+        keep = keep[np.argsort(rows[keep], kind="stable")]
+        rows, docs = rows[keep], docs[keep]
+        ends, of = np.searchsorted(rows, np.arange(len(queries) + 1)).tolist(), np.searchsorted(row, np.arange(len(queries) + 1)).tolist()
+        for i in range(len(queries)):
+            if ends[i] < ends[i + 1]:
+                own = docs[ends[i] : ends[i + 1]]
+                out[i] = self._best(own, self._exact(own, local[of[i] : of[i + 1]]), k, least[i])
+        return out
+
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """lo[0] .. hi[0] - 1, lo[1] .. hi[1] - 1, and so on."""
@@ -324,11 +475,28 @@ def _search_shards(k: int, mean: float, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, index, open_ = None, None, False
+        rows: list[tuple] = []
+        waiting: list[tuple[int, np.ndarray, float]] = []
+
+        def search() -> None:
+            """The waiting queries, together."""
+            keys, queries, least = zip(*waiting, strict=True)
+            for key, best in zip(keys, index.search_many(list(queries), k, list(least)), strict=True):
+                rows.extend((key, d, s) for s, d in best)
+            waiting.clear()
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            rows.clear()
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["query_id", "doc_id", "score"])
+
         for batch in batches:
-            rows: list[tuple] = []
             cols = [batch.column(c) for c in ("shard", "kind", "id", "text", "blob", "more", "least")]
             for shard, kind, key, text, blob, more, least in zip(*(c.to_pylist() for c in cols), strict=True):
                 if shard != now:
+                    if waiting:
+                        search()
                     now, index, open_ = shard, Shard(mean, n), True
                 if kind == 0:
                     index.page(key, blob, more)
@@ -339,12 +507,16 @@ def _search_shards(k: int, mean: float, n: int):
                         index.close()
                         open_ = False
                     query = np.cumsum(np.frombuffer(zlib.decompress(blob), "<u4"), dtype=np.int64)
-                    rows += [(key, d, s) for s, d in index.search(query, k, least)]
-            out = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                names=["query_id", "doc_id", "score"],
-            )
+                    if len(query) < SHORT:
+                        rows.extend((key, d, s) for s, d in index.search(query, k, least))
+                        continue
+                    waiting.append((key, query, least))
+                    if len(waiting) >= TOGETHER:
+                        search()
+            yield out()
+        if waiting:
+            search()
+        yield out()
 
     return run
 
@@ -393,7 +565,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_chars: int =
     )
     pages = stored(pages.mapInArrow(_pages, "first bigint, hashes binary, dfs binary"))
 
-    shards = max(1, -(-chars // shard_chars))
+    shards, tasks = max(1, -(-chars // shard_chars)), max(1, spark.sparkContext.defaultParallelism)
+    if shards > 1:
+        # As many as keep all cores busy in each round; the results are the same for any number.
+        shards = -(-shards // tasks) * tasks
     shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
     empty = {"text": "string", "blob": "binary", "more": "binary", "least": "double"}
 
@@ -414,7 +589,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_chars: int =
         )
         return both.mapInArrow(_search_shards(k, mean, n), "query_id bigint, doc_id bigint, score double")
 
-    found, first, many = None, 0, FIRST_ROUND
+    found, first, many = None, 0, tasks
     while first < shards:
         last = min(shards, first + many)
         least = packed.withColumn("least", F.lit(0.0))

@@ -74,6 +74,33 @@ def test_pruned_search_reads_fewer_postings():
     assert 0 < shard.read < 0.7 * shard.all
 
 
+def test_queries_searched_together(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(bm25, "GROUP", 64)
+    monkeypatch.setattr(bm25, "TILE", 16)
+    monkeypatch.setattr(bm25, "FULL", 20)
+    rng = random.Random(7)
+    weights = [1 / (k + 1) for k in range(900)]
+    docs = [(i, " ".join(f"{'abc'[i % 3]}{w}" for w in rng.choices(range(900), weights, k=rng.choice([1, 30, 200])))) for i in range(700)]
+    docs += [(700 + i, docs[i][1]) for i in range(40)] + [docs[5]] * 3 + [(2000, ""), (None, docs[9][1])]
+    vocabulary = Counter(t for _, text in docs for t in set(text.split()))
+    named = sorted(vocabulary, key=lambda t: (-vocabulary[t], bm25._hash(t)))
+    shard = bm25.Shard(sum(len(t.split()) for _, t in docs) / len(docs), len(docs))
+    shard.page(0, np.array([bm25._hash(t) for t in named], "<i8").tobytes(), zlib.compress(np.array([vocabulary[t] for t in named], "<i8").tobytes()))
+    for i, text in docs:
+        shard.add(i, text)
+    shard.close()
+    code = {t: i for i, t in enumerate(named)}
+    queries = [np.array(sorted(code[t] for t in set(text.split())), np.int64) for _, text in docs[:90]] + [np.zeros(0, np.int64)]
+    want = slow([(-1 if i is None else i, t) for i, t in docs], [(i, t) for i, (_, t) in enumerate(docs[:90])], 10)
+    got = shard.search_many(queries, 10, [0.0] * len(queries))
+    assert [[(round(s, 6), -1 if d is None else d) for s, d in g] for g in got] == [want[i] for i in range(90)] + [[]]
+    assert got[:90] == [shard.search(q, 10) for q in queries[:90]]
+    least = [g[min(2, len(g) - 1)][0] for g in got[:90]]
+    assert shard.search_many(queries[:90], 10, least) == [[x for x in g if x[0] >= t] for g, t in zip(got, least)]
+
+
 def test_rows_that_repeat(spark):
     rows = [(1, "a b c")] * 5 + [(None, "a b")] * 2 + [(-1, "a b"), (2, "q")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
