@@ -21,7 +21,8 @@ count of each cell at most. Both are upper bounds of the intersection, so none
 that could join two components is left out.
 
 Intermediate tables are Parquet: a checkpoint would hand on the constraints of
-its plan, and planning the components would take longer each step.
+its plan, and planning the components would take longer each step. They are
+deleted when nothing will read them, but for the few that the result is made from.
 
 Defined cases: words are parted by ASCII white space, ASCII letters in lower
 case; a text of fewer words than a shingle has one, the whole of it; a null
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import hot_keys, lookup, short_batches, stored, tidy, whole_text
+from quadrille.llm.common import hot_keys, lookup, removed, short_batches, stored, tidy, whole_text
 from quadrille.llm.simhash import components, simhash, trie_links
 
 #: Words of a shingle, and the least likeness of linked documents.
@@ -118,17 +119,21 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike."""
+    """The pairs (u, v) whose whole sets are alike, as a table."""
+    made = []
 
     def joined(rows: DataFrame, key: str) -> DataFrame:
         counts = stored(rows.groupBy(key).agg(F.count("*").alias("n")))
+        made.append(counts)
         total = counts.agg(F.sum("n")).first()[0] or 0
         side = sets.select(F.col("node").alias(key), F.col("set").alias(f"set_{key}"))
         return lookup(rows, side, key, hot_keys(counts, key, "n", total))
 
     both = F.size(F.array_intersect("set_u", "set_v"))
     whole = F.size("set_u") + F.size("set_v") - both
-    return joined(joined(pairs, "u"), "v").where(both >= whole * F.lit(likeness)).select("u", "v")
+    found = stored(joined(joined(pairs, "u"), "v").where(both >= whole * F.lit(likeness)).select("u", "v"))
+    removed(*made)
+    return found
 
 
 def _bounds(sets: DataFrame, open_nodes: DataFrame) -> DataFrame:
@@ -181,6 +186,7 @@ def without_near_copies(
     total = multi.agg(F.sum("m")).first()[0] or 0
     hot = hot_keys(multi, "band", "m", total)
     members = stored(lookup(banded, multi.select("band", "first"), "band", hot))
+    removed(multi)
 
     def sizes_fit(a: str, b: str) -> Column:
         return F.least(a, b) >= F.greatest(a, b) * F.lit(likeness)
@@ -198,13 +204,15 @@ def without_near_copies(
         .unionByName(first.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
         .distinct()
     )
+    removed(same)
     needed = members.select("node").unionByName(stars.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     # The whole sets of all nodes that any comparison can need; a node's text is any with its set.
     needed = needed.join(nodes.select("node", "row"), "node")
     texts = named.select("row", "text").join(needed, "row").select("node", "text").dropDuplicates(["node"])
     sets = stored(_sets(texts, shingle))
-    links = stored(_alike(stars, sets, likeness))
-    roots = stored(components(links))
+    removed(nodes)
+    links = _alike(stars, sets, likeness)
+    roots = components(links)
 
     def open_places(roots: DataFrame, members: DataFrame) -> DataFrame:
         """The members of bands that span several components."""
@@ -213,6 +221,8 @@ def without_near_copies(
         return placed.join(several.select("band", "m"), "band")
 
     left_open = stored(open_places(roots, members.select("band", "node", "n")))
+    removed(members)
+    made = [stars, sets, links, left_open]
     if not left_open.isEmpty():
         bounds = stored(_bounds(sets, left_open.select("node").distinct()))
         # A node with too few shared shingles is alike to no other.
@@ -227,10 +237,11 @@ def without_near_copies(
             .distinct()
             .join(stars, ["u", "v"], "left_anti")
         )
-        found = stored(_alike(again, sets, likeness))
+        found = _alike(again, sets, likeness)
         if not found.isEmpty():
-            links = stored(links.unionByName(found))
-            roots = stored(components(links))
+            links = links.unionByName(found)
+            roots = components(links)
+        made += [bounds, left_open, again, found]
         left_open = open_places(roots, left_open.drop("root"))
         # A band's comparisons are dealt in slices: one side by its hash, the other to all of them.
         slices = F.ceil(F.col("m") / SLICE).cast("int")
@@ -255,9 +266,12 @@ def without_near_copies(
             .distinct()
             .join(stars.unionByName(again), ["u", "v"], "left_anti")
         )
-        found = stored(_alike(stored(rest), sets, likeness))
+        rest = stored(rest)
+        found = _alike(rest, sets, likeness)
         if not found.isEmpty():
             roots = components(links.unionByName(found))
+        made += [rest, found]
+    removed(*made)
 
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     firsts = named.select("row", "id").join(sketches.select("row", "node"), "row").groupBy("node").agg(F.min(rank).alias("rank"))

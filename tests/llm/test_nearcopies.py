@@ -1,7 +1,11 @@
+import os
 import random
+import time
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from quadrille.llm import nearcopies
+from quadrille.llm.common import CLEANUP, shared_folder, stored
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -63,3 +67,33 @@ def test_rows_that_share_an_id_stay_if_unlike(spark):
     df = spark.createDataFrame([*rows, rows[0], rows[2]], DOCS)
     got = corpus_pipeline.drop_near_copies(spark, df, "").collect()
     assert sorted(r.n_chars for r in got) == [0, 1, 2, 3, 4, 5]
+
+
+def test_tables_that_nothing_reads_go(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(60)) for _ in range(30)]
+    rows = [(i, f"{base[i % 30]} {'x y z' if i % 3 else ''} {i // 60}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    kept = nearcopies.without_near_copies(docs).collect()
+    assert sorted(r.doc_id for r in kept) == slow_kept(rows)
+    left = [x for x in os.listdir(folder) if x not in before and x.startswith("table-")]
+    assert len(left) <= 5
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {x for top in dirs for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    table = stored(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert sorted(table.collect()) == [(k, 715 if k < 2 else 714) for k in range(7)]
+    for _ in range(10):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(CLEANUP, None) == setting
