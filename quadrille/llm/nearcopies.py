@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import hot_keys, lookup, removed, short_batches, stored, tidy, whole_text
+from quadrille.llm.common import hot_keys, lookup, removed, short_batches, stored_alone, tidy, whole_text
 from quadrille.llm.simhash import components, simhash, trie_links
 
 #: Words of a shingle, and the least likeness of linked documents.
@@ -123,7 +123,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     made = []
 
     def joined(rows: DataFrame, key: str) -> DataFrame:
-        counts = stored(rows.groupBy(key).agg(F.count("*").alias("n")))
+        counts = stored_alone(rows.groupBy(key).agg(F.count("*").alias("n")))
         made.append(counts)
         total = counts.agg(F.sum("n")).first()[0] or 0
         side = sets.select(F.col("node").alias(key), F.col("set").alias(f"set_{key}"))
@@ -131,7 +131,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
 
     both = F.size(F.array_intersect("set_u", "set_v"))
     whole = F.size("set_u") + F.size("set_v") - both
-    found = stored(joined(joined(pairs, "u"), "v").where(both >= whole * F.lit(likeness)).select("u", "v"))
+    found = stored_alone(joined(joined(pairs, "u"), "v").where(both >= whole * F.lit(likeness)).select("u", "v"))
     removed(*made)
     return found
 
@@ -176,29 +176,29 @@ def without_near_copies(
     named = keyed.select(
         F.col("_row").alias("row"), F.col(doc_id).cast("bigint").alias("id"), whole_text(text).alias("text")
     )
-    sketches = stored(_sketches(named.select("row", "text"), shingle).dropDuplicates(["row"]))
-    nodes = stored(sketches.groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("fp").alias("fp")))
+    sketches = stored_alone(_sketches(named.select("row", "text"), shingle).dropDuplicates(["row"]))
+    nodes = stored_alone(sketches.groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("fp").alias("fp")))
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     place = F.struct("node", "n")
-    multi = stored(
+    multi = stored_alone(
         banded.groupBy("band").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1")
     )
     total = multi.agg(F.sum("m")).first()[0] or 0
     hot = hot_keys(multi, "band", "m", total)
-    members = stored(lookup(banded, multi.select("band", "first"), "band", hot))
+    members = stored_alone(lookup(banded, multi.select("band", "first"), "band", hot))
     removed(multi)
 
     def sizes_fit(a: str, b: str) -> Column:
         return F.least(a, b) >= F.greatest(a, b) * F.lit(likeness)
 
-    same = stored(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("k")))
+    same = stored_alone(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("k")))
     first = trie_links(same.select("fp", F.col("least").alias("node")), BUDGET)
     equal = same.where("k > 1")
     hot_prints = hot_keys(equal, "fp", "k", equal.agg(F.sum("k")).first()[0] or 0)
     first = first.unionByName(
         lookup(nodes.select("fp", "node"), equal.drop("k"), "fp", hot_prints).select(F.col("least").alias("u"), F.col("node").alias("v"))
     )
-    stars = stored(
+    stars = stored_alone(
         members.where((F.col("node") != F.col("first.node")) & sizes_fit("n", "first.n"))
         .select(F.col("first.node").alias("u"), F.col("node").alias("v"))
         .unionByName(first.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
@@ -209,7 +209,7 @@ def without_near_copies(
     # The whole sets of all nodes that any comparison can need; a node's text is any with its set.
     needed = needed.join(nodes.select("node", "row"), "node")
     texts = named.select("row", "text").join(needed, "row").select("node", "text").dropDuplicates(["node"])
-    sets = stored(_sets(texts, shingle))
+    sets = stored_alone(_sets(texts, shingle))
     removed(nodes)
     links = _alike(stars, sets, likeness)
     roots = components(links)
@@ -220,17 +220,17 @@ def without_near_copies(
         several = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a != b")
         return placed.join(several.select("band", "m"), "band")
 
-    left_open = stored(open_places(roots, members.select("band", "node", "n")))
+    left_open = stored_alone(open_places(roots, members.select("band", "node", "n")))
     removed(members)
     made = [stars, sets, links, left_open]
     if not left_open.isEmpty():
-        bounds = stored(_bounds(sets, left_open.select("node").distinct()))
+        bounds = stored_alone(_bounds(sets, left_open.select("node").distinct()))
         # A node with too few shared shingles is alike to no other.
-        left_open = stored(left_open.drop("m").join(bounds, "node").where(F.col("common") >= F.col("n") * F.lit(likeness)))
+        left_open = stored_alone(left_open.drop("m").join(bounds, "node").where(F.col("common") >= F.col("n") * F.lit(likeness)))
         central = left_open.groupBy("band").agg(
             F.min(F.struct((1 - F.col("common") / F.greatest("n", F.lit(1))).alias("alone"), "node", "n", "root")).alias("first")
         )
-        again = stored(
+        again = stored_alone(
             left_open.join(central, "band")
             .where((F.col("root") != F.col("first.root")) & sizes_fit("n", "first.n"))
             .select(F.least("node", "first.node").alias("u"), F.greatest("node", "first.node").alias("v"))
@@ -266,7 +266,7 @@ def without_near_copies(
             .distinct()
             .join(stars.unionByName(again), ["u", "v"], "left_anti")
         )
-        rest = stored(rest)
+        rest = stored_alone(rest)
         found = _alike(rest, sets, likeness)
         if not found.isEmpty():
             roots = components(links.unionByName(found))

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut, hot_keys, lookup, removed, short_batches, stored, table, tidy, whole_text
+from quadrille.llm.common import cut, hot_keys, lookup, removed, short_batches, stored_alone, table, tidy, whole_text
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -267,7 +267,7 @@ def components(links: DataFrame) -> DataFrame:
     Edges are Parquet between steps, read in as many tasks as their size asks
     for: a checkpoint would be read in one for each shuffle partition.
     """
-    edges = stored(
+    edges = stored_alone(
         links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
 
@@ -283,10 +283,10 @@ def components(links: DataFrame) -> DataFrame:
     while now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         joined, _ = star(both, 2 * now[0])
-        large = stored(joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = stored_alone(joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         joined, least = star(large, now[0])
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, edges = edges, stored_alone(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         removed(last, large)
         before, now = now, mark(edges)
         if now == before:

@@ -5,7 +5,7 @@ import time
 import corpus_pipeline
 from pyspark.sql import functions as F
 from quadrille.llm import nearcopies
-from quadrille.llm.common import CLEANUP, shared_folder, stored
+from quadrille.llm.common import CLEANUP, shared_folder, stored_alone
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -89,7 +89,7 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
         return {x for top in dirs for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
 
     before, setting = shuffled(), spark.conf.get(CLEANUP, None)
-    table = stored(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count())
+    table = stored_alone(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count())
     assert sorted(table.collect()) == [(k, 715 if k < 2 else 714) for k in range(7)]
     for _ in range(10):
         if not shuffled() - before:
