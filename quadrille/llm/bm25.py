@@ -60,7 +60,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import short_batches, stored, table, whole_text
+from quadrille.llm.common import give_back, short_batches, stored, table, tidy, whole_text
 
 K1, B = 1.2, 0.75
 #: Characters of a shard's texts, documents of a block, and terms of a shard that have block maxima.
@@ -74,7 +74,7 @@ DENSITY, FULL = 30, 1024
 #: Queries searched together, and cells of a matrix held at once.
 TOGETHER, CELLS = 256, 24_000_000
 #: Queries of fewer terms are searched one by one.
-SHORT = 24
+SHORT = 8
 #: Every ROW-th document id is a query; results of a query.
 QUERY_EVERY, TOP = 20, 10
 #: Terms counted before a task sends them on, and terms of a row of the dictionary.
@@ -167,39 +167,36 @@ class Shard:
         self.ids = [ids[i] for i in turned]
         self.many = [self.many[i] for i in turned]
         size = np.array([self.sizes[i] for i in turned], np.float64)
-        norm = K1 * (1 - B + B * size / self.mean)
-        # By document: local terms, ascending, and what each adds to its score.
-        n = np.array([len(self.codes[i]) for i in turned], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(n)])
+        self.norm = K1 * (1 - B + B * size / self.mean)
+        # By document: local terms, ascending, and how often it has them.
+        self.at = np.concatenate([[0], np.cumsum([len(self.codes[i]) for i in turned])]).astype(np.int64)
         code = np.concatenate([self.codes[i] for i in turned]) if len(turned) else np.zeros(0, np.int32)
-        tf = np.concatenate([self.counts[i] for i in turned]) if len(turned) else np.zeros(0, np.int32)
+        self.tf = np.concatenate([self.counts[i] for i in turned]) if len(turned) else np.zeros(0, np.int32)
         self.codes, self.counts, self.rows = [], [], {}
-        known, local = np.unique(code, return_inverse=True)
-        self.term = local.astype(np.int32)
+        has = np.zeros(len(self.idf), bool)
+        has[code] = True
+        known = np.flatnonzero(has)
         self.local = np.full(len(self.idf), -1, np.int32)
         self.local[known] = np.arange(len(known), dtype=np.int32)
-        tf = tf.astype(np.float64)
-        self.weight = self.idf[code] * (tf * (K1 + 1) / (tf + np.repeat(norm, n)))
-        del code, local, tf
-        # By term: documents, and what the term adds to their scores.
-        order = np.argsort(self.term, kind="stable")
-        self.doc = np.repeat(np.arange(len(turned), dtype=np.int32), n)[order]
-        self.impact = self.weight[order].astype(np.float32)
-        del order
+        self.term, self.idf = self.local[code], self.idf[known]
+        del code, has
+        self._group(kinds[turned])
         df = np.bincount(self.term, minlength=len(known))
         self.first = np.concatenate([[0], np.cumsum(df)])
-        self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(df) else np.zeros(0, np.float32)
+        self.most = self.top.max(axis=0) if len(self.top) else np.zeros(len(known), np.float32)
         common = np.argsort(-df, kind="stable")[:COMMON]
         self.common = np.full(len(df), -1, np.int32)
         self.common[common] = np.arange(len(common))
-        docs = -(-max(1, len(turned)) // BLOCK) * BLOCK
-        self.dense = np.zeros((len(common), docs), np.float32)
-        for i, t in enumerate(common.tolist()):
-            a, b = self.first[t], self.first[t + 1]
-            self.dense[i, self.doc[a:b]] = self.impact[a:b]
-        self.block_most = self.dense.reshape(len(common), docs // BLOCK, BLOCK).max(axis=2)
+        self.block_most = np.zeros((len(common), -(-max(1, len(turned)) // BLOCK)), np.float32)
+        for g in range(len(self.whole)):
+            doc, impact, n = self._posts(g, common)
+            np.maximum.at(self.block_most, (np.repeat(np.arange(len(common)), n), (doc + self.starts[g]) // BLOCK), impact)
         self.asked = np.zeros(len(df), bool)
-        self._group(kinds[turned])
+
+    def _weight(self, rows: np.ndarray | slice, docs: np.ndarray) -> np.ndarray:
+        """What the postings ``rows`` of ``docs`` add to their scores."""
+        tf = self.tf[rows].astype(np.float64)
+        return self.idf[self.term[rows]] * (tf * (K1 + 1) / (tf + self.norm[docs]))
 
     def _kinds(self) -> np.ndarray:
         """A number for each document, equal for documents that share many common terms."""
@@ -227,29 +224,32 @@ class Shard:
         edges = np.flatnonzero(np.diff(kinds, prepend=-1, append=-1))
         starts = [a for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for a in range(lo, hi, max(1, GROUP))]
         self.starts = [*starts, len(kinds)]
-        terms, groups = len(self.first) - 1, len(starts)
-        term = np.repeat(np.arange(terms), np.diff(self.first))
-        group = np.searchsorted(np.array(starts), self.doc, side="right") - 1
-        df = np.bincount(group * terms + term, minlength=groups * terms).reshape(groups, terms)
+        self.terms, groups = len(self.idf), len(starts)
         # By group and term: the documents, counted from the group's first, beside what the term adds, in eight bytes.
-        order = np.argsort(group, kind="stable")
-        pairs = np.empty((len(order), 2), np.int32)
-        pairs[:, 0] = (self.doc - np.array(starts, np.int32)[group])[order] if groups else 0
-        pairs[:, 1] = self.impact.view(np.int32)[order]
-        self.pairs = pairs.view(np.int64).ravel()
-        self.cut = np.concatenate([[0], np.cumsum(df)]).astype(np.int32)
-        self.top = np.zeros((groups, terms), np.float32)
-        edge = np.flatnonzero(np.diff(term * max(1, groups) + group, prepend=-1))
-        if len(edge):
-            self.top[group[edge], term[edge]] = np.maximum.reduceat(self.impact, edge)
-        del term, group, edge, order
+        # Groups are made one by one, as what sorting needs is several times the postings.
+        self.pairs = np.empty(len(self.term), np.int64)
+        self.cut = np.zeros(groups * self.terms + 1, np.int32)
+        self.top = np.zeros((groups, self.terms), np.float32)
         self.part = np.zeros(0, np.float32)
-        self.column, self.whole = np.full((groups, terms), -1, np.int16), []
+        self.column, self.whole = np.full((groups, self.terms), -1, np.int16), []
         full = min(FULL, max(16, CELLS // max(1, len(kinds))))
         for g in range(groups):
             a, b = self.starts[g], self.starts[g + 1]
-            common = np.flatnonzero(df[g] * DENSITY >= b - a)
-            common = common[np.argsort(-df[g][common], kind="stable")[:full]]
+            lo, hi = int(self.at[a]), int(self.at[b])
+            doc = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(self.at[a : b + 1]))
+            order = np.argsort(self.term[lo:hi], kind="stable")
+            pairs = self.pairs[lo:hi].view(np.int32)
+            pairs[::2] = doc[order]
+            pairs[1::2] = self._weight(slice(lo, hi), doc + a).astype(np.float32).view(np.int32)[order]
+            del doc, order
+            df = np.bincount(self.term[lo:hi], minlength=self.terms)
+            ends = lo + np.cumsum(df)
+            self.cut[g * self.terms + 1 : (g + 1) * self.terms + 1] = ends
+            has = np.flatnonzero(df)
+            if len(has):
+                self.top[g, has] = np.maximum.reduceat(pairs.view(np.float32)[1::2], (ends - df)[has] - lo)
+            common = np.flatnonzero(df * DENSITY >= b - a)
+            common = common[np.argsort(-df[common], kind="stable")[:full]]
             self.column[g, common] = np.arange(len(common))
             whole = np.zeros((len(common), b - a), np.float32)
             doc, impact, n = self._posts(g, common)
@@ -259,16 +259,29 @@ class Shard:
 
     def _posts(self, g: int, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The postings of the terms ``local`` in a group: documents, what they get, and the number for each term."""
-        lo = self.cut[local + g * (len(self.first) - 1)]
-        hi = self.cut[local + (g * (len(self.first) - 1) + 1)]
+        lo = self.cut[local + g * self.terms]
+        hi = self.cut[local + (g * self.terms + 1)]
         pairs = self.pairs.take(_ranges(lo, hi))
         return pairs.view(np.int32)[::2], pairs.view(np.float32)[1::2], hi - lo
 
     def _partial(self, local: np.ndarray) -> np.ndarray:
         """What the terms ``local`` add to each document's score."""
-        posts = _ranges(self.first[local], self.first[local + 1])
-        self.read += len(posts)
-        return np.bincount(self.doc[posts], self.impact[posts], len(self.ids))
+        at = (np.arange(len(self.whole))[:, None] * self.terms + local).ravel()
+        lo, hi = self.cut[at], self.cut[at + 1]
+        pairs = self.pairs.take(_ranges(lo, hi))
+        self.read += len(pairs)
+        first = np.repeat(np.array(self.starts[:-1], np.int64), len(local))
+        return np.bincount(pairs.view(np.int32)[::2] + np.repeat(first, hi - lo), pairs.view(np.float32)[1::2], len(self.ids))
+
+    def _added(self, local: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What the terms ``local`` add to the scores of ``docs``, ascending."""
+        out = np.zeros(len(docs))
+        ends = np.searchsorted(docs, self.starts).tolist()
+        for g, a in enumerate(self.starts[:-1]):
+            if ends[g] < ends[g + 1]:
+                doc, impact, _ = self._posts(g, local)
+                out[ends[g] : ends[g + 1]] = np.bincount(doc, impact, self.starts[g + 1] - a)[docs[ends[g] : ends[g + 1]] - a]
+        return out
 
     def _exact(self, docs: np.ndarray, local: np.ndarray) -> np.ndarray:
         """The scores of ``docs``, summed in one order of terms."""
@@ -278,7 +291,7 @@ class Shard:
         has = self.asked[self.term[rows]]
         of = np.repeat(np.arange(len(docs)), hi - lo)[has]
         self.asked[local] = False
-        return np.round(np.bincount(of, self.weight[rows[has]], len(docs)), 9)
+        return np.round(np.bincount(of, self._weight(rows[has], docs[of]), len(docs)), 9)
 
     def search(self, query: np.ndarray, k: int, least: float = 0.0) -> list[tuple[float, int | None]]:
         """The k best (score, document id) that reach ``least``; ``query`` has term numbers, ascending."""
@@ -318,8 +331,8 @@ class Shard:
             bound = self.block_most[later].sum(axis=0)
             kept = total + bound[docs // BLOCK] * (1 + SLACK) >= floor
             docs, total = docs[kept], total[kept]
-            part = later[:PART]
-            total = total + self.dense[part[:, None], docs].sum(axis=0)
+            part = rare[done : done + PART]
+            total = total + self._added(part, docs)
             self.read += len(part) * len(docs)
             done += PART
         if len(total) > k:
@@ -505,6 +518,7 @@ def _search_shards(k: int, mean: float, n: int):
                 else:
                     if open_:
                         index.close()
+                        give_back()
                         open_ = False
                     query = np.cumsum(np.frombuffer(zlib.decompress(blob), "<u4"), dtype=np.int64)
                     if len(query) < SHORT:
@@ -547,7 +561,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_chars: int =
     short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), whole_text().alias("text"))
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), whole_text().alias("text"))
-    counted = docs.select("text").mapInArrow(_count_terms, "term bigint, df bigint, words bigint, chars bigint")
+    counted = docs.select("text").mapInArrow(tidy(_count_terms), "term bigint, df bigint, words bigint, chars bigint")
     sums = stored(counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "words", "chars")]))
     size = sums.where("term is null").first()
     n, words, chars = (size["df"] or 0, size["words"] or 0, size["chars"] or 0) if size else (0, 0, 0)
@@ -587,7 +601,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_chars: int =
             .repartitionById(last - first, (F.col("shard") - first).cast("int"))
             .sortWithinPartitions("shard", "kind")
         )
-        return both.mapInArrow(_search_shards(k, mean, n), "query_id bigint, doc_id bigint, score double")
+        return both.mapInArrow(tidy(_search_shards(k, mean, n)), "query_id bigint, doc_id bigint, score double")
 
     found, first, many = None, 0, tasks
     while first < shards:

@@ -101,6 +101,34 @@ def test_queries_searched_together(monkeypatch):
     assert shard.search_many(queries[:90], 10, least) == [[x for x in g if x[0] >= t] for g, t in zip(got, least)]
 
 
+def test_a_shard_holds_its_postings_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    weights = 1 / (np.arange(20_000) + 20)
+    docs = [" ".join(f"w{w}" for w in rng.choice(20_000, 150, p=weights / weights.sum())) for _ in range(6000)]
+    vocabulary = Counter(t for text in docs for t in set(text.split()))
+    named = sorted(vocabulary, key=lambda t: (-vocabulary[t], bm25._hash(t)))
+    page = np.array([bm25._hash(t) for t in named], "<i8").tobytes(), zlib.compress(np.array([vocabulary[t] for t in named], "<i8").tobytes())
+    tracemalloc.start()
+    try:
+        shard = bm25.Shard(150, len(docs))
+        shard.page(0, *page)
+        for i, text in enumerate(docs):
+            shard.add(i, text)
+        added = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        shard.close()
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    postings = sum(vocabulary.values())
+    held -= sum(whole.nbytes for whole, _, _ in shard.whole)
+    assert held < 24 * postings and peak - added < 45 * postings
+
+
 def test_rows_that_repeat(spark):
     rows = [(1, "a b c")] * 5 + [(None, "a b")] * 2 + [(-1, "a b"), (2, "q")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
