@@ -64,7 +64,7 @@ from quadrille.llm.common import give_back, short_batches, stored, table, tidy,
 
 K1, B = 1.2, 0.75
 #: Characters of a shard's texts, documents of a block, and terms of a shard that have block maxima.
-SHARD_CHARS, BLOCK, COMMON = 64_000_000, 32, 512
+SHARD_CHARS, BLOCK, COMMON = 40_000_000, 32, 512
 #: The share of a query's postings read before there is a threshold.
 HEAD = 0.08
 #: Documents of a group and of its tiles, kinds that a shard's documents are dealt to by their terms, and rounds of that dealing.
@@ -73,6 +73,8 @@ GROUP, TILE, KINDS, DEALINGS = 4096, 512, 8, 4
 DENSITY, FULL = 30, 1024
 #: Queries searched together, and cells of a matrix held at once.
 TOGETHER, CELLS = 256, 24_000_000
+#: Postings added to the scores of queries searched together at once, some few more or less.
+POSTS = 32_768
 #: Queries of fewer terms are searched one by one.
 SHORT = 8
 #: Every ROW-th document id is a query; results of a query.
@@ -381,16 +383,19 @@ class Shard:
             asked = np.zeros((len(live), len(whole)), np.float32)
             asked[at[common], column[common]] = 1
             at, rare = at[~common], term[~common]
-            doc, impact, n = self._posts(g, rare)
-            where = np.repeat(at * docs, n)
-            where += doc
             if len(self.part) < len(live) * docs:
                 self.part = np.zeros(len(live) * docs, np.float32)
             part = self.part[: len(live) * docs]
             part.fill(0)
-            np.add.at(part, where, np.ascontiguousarray(impact))
+            ends = np.cumsum(self.cut[rare + (g * self.terms + 1)] - self.cut[rare + g * self.terms], dtype=np.int64)
+            cuts = np.searchsorted(ends, np.arange(POSTS, ends[-1], POSTS)).tolist() if len(ends) else []
+            for first, last in zip([0, *cuts], [*cuts, len(rare)], strict=True):
+                doc, impact, n = self._posts(g, rare[first:last])
+                where = np.repeat(at[first:last] * docs, n)
+                where += doc
+                np.add.at(part, where, np.ascontiguousarray(impact))
+                self.read += len(where)
             part = part.reshape(-1, docs)
-            self.read += len(where)
             bound = (asked @ most + np.maximum.reduceat(part, tiles, axis=1)) * loose[live, None]
             for i, first in enumerate(tiles.tolist()):
                 near = np.flatnonzero(bound[:, i] >= floor[live])

@@ -129,6 +129,37 @@ def test_a_shard_holds_its_postings_in_little_memory():
     assert held < 24 * postings and peak - added < 45 * postings
 
 
+def test_queries_searched_together_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in rng.choice(3000, 400)) for _ in range(1500)]
+    vocabulary = Counter(t for text in texts for t in set(text.split()))
+    named = sorted(vocabulary, key=lambda t: (-vocabulary[t], bm25._hash(t)))
+    code = {t: i for i, t in enumerate(named)}
+    shard = bm25.Shard(400, 20 * len(texts))
+    shard.page(0, np.array([bm25._hash(t) for t in named], "<i8").tobytes(), zlib.compress(np.array([vocabulary[t] for t in named], "<i8").tobytes()))
+    for i, text in enumerate(texts):
+        shard.add(i, text)
+    shard.close()
+    queries = [np.array(sorted(code[t] for t in set(text.split())), np.int64) for text in texts[:200]]
+    # No term is held whole, so all postings of all queries are added one by one.
+    shard.whole = [(w[:0], tiles, most[:0]) for w, tiles, most in shard.whole]
+    shard.column[:] = -1
+    want = shard.search_many(queries[:5], 10, [0.0] * 5)
+    shard.read = 0
+    tracemalloc.start()
+    try:
+        got = shard.search_many(queries, 10, [0.0] * 200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[:5] == want == [shard.search(q, 10) for q in queries[:5]]
+    assert peak < 3 * shard.read
+
+
 def test_rows_that_repeat(spark):
     rows = [(1, "a b c")] * 5 + [(None, "a b")] * 2 + [(-1, "a b"), (2, "q")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
