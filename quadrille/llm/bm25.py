@@ -71,8 +71,8 @@ HEAD = 0.08
 GROUP, TILE, KINDS, DEALINGS = 4096, 512, 8, 4
 #: A group's terms with postings for one in DENSITY of its documents are held whole, FULL terms at most.
 DENSITY, FULL = 30, 1024
-#: Queries searched together, and cells of a matrix held at once.
-TOGETHER, CELLS = 256, 24_000_000
+#: Queries searched together and terms that they have at once, but for the last query, and cells of a matrix held at once.
+TOGETHER, ASKED, CELLS = 1024, 500_000, 24_000_000
 #: Postings added to the scores of queries searched together at once, some few more or less.
 POSTS = 32_768
 #: Queries of fewer terms are searched one by one.
@@ -364,6 +364,13 @@ class Shard:
         local = self.local[np.concatenate(queries)]
         row, local = row[local >= 0], local[local >= 0]
         self.all += int((self.first[local + 1] - self.first[local]).sum())
+        # Each term is looked up in a group once, whatever number of queries has it.
+        self.asked[local] = True
+        known = np.flatnonzero(self.asked)
+        self.asked[known] = False
+        number = np.zeros(self.terms, np.int64)
+        number[known] = np.arange(len(known))
+        number = number[local]
         # A sum of floats has as many additions as a query's terms, or a group's common terms, at most.
         loose = 1 + ROUNDING * (np.array([len(q) for q in queries]) + FULL + 16)
         floor = np.maximum(np.array(least) / loose - 1e-9, 1e-30)
@@ -371,30 +378,44 @@ class Shard:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for g, (whole, tiles, most) in enumerate(self.whole):
             a, docs = self.starts[g], whole.shape[1]
-            live = np.flatnonzero(np.bincount(row, self.top[g][local], len(queries)) * loose >= floor)
+            lo, column = self.cut[known + g * self.terms].astype(np.int64), self.column[g][known]
+            n = self.cut[known + (g * self.terms + 1)] - lo
+            has = np.flatnonzero((n > 0)[number])
+            at, term = row[has], number[has]
+            live = np.flatnonzero(np.bincount(at, self.top[g][known][term], len(queries)) * loose >= floor)
             if not len(live):
                 continue
-            place = np.full(len(queries), -1)
-            place[live] = np.arange(len(live))
-            at = place[row]
-            at, term = at[at >= 0], local[at >= 0]
-            column = self.column[g][term]
-            common = column >= 0
+            if len(live) < len(queries):
+                place = np.full(len(queries), -1)
+                place[live] = np.arange(len(live))
+                at = place[at]
+                has = np.flatnonzero(at >= 0)
+                at, term = at[has], term[has]
+            whole_at = column[term]
+            common = np.flatnonzero(whole_at >= 0)
             asked = np.zeros((len(live), len(whole)), np.float32)
-            asked[at[common], column[common]] = 1
-            at, rare = at[~common], term[~common]
+            asked[at[common], whole_at[common]] = 1
+            rare = np.flatnonzero(whole_at < 0)
+            at, rare = at[rare] * docs, term[rare]
             if len(self.part) < len(live) * docs:
                 self.part = np.zeros(len(live) * docs, np.float32)
             part = self.part[: len(live) * docs]
             part.fill(0)
-            ends = np.cumsum(self.cut[rare + (g * self.terms + 1)] - self.cut[rare + g * self.terms], dtype=np.int64)
+            n = n[rare]
+            ends = np.cumsum(n)
+            # The postings of all, counted on, less this are where they are.
+            lo = lo[rare] - ends + n
             cuts = np.searchsorted(ends, np.arange(POSTS, ends[-1], POSTS)).tolist() if len(ends) else []
+            read = 0
             for first, last in zip([0, *cuts], [*cuts, len(rare)], strict=True):
-                doc, impact, n = self._posts(g, rare[first:last])
-                where = np.repeat(at[first:last] * docs, n)
-                where += doc
-                np.add.at(part, where, np.ascontiguousarray(impact))
-                self.read += len(where)
+                where = np.repeat(lo[first:last], n[first:last])
+                where += np.arange(read, read + len(where))
+                pairs = self.pairs.take(where)
+                where = np.repeat(at[first:last], n[first:last])
+                where += pairs.view(np.int32)[::2]
+                np.add.at(part, where, np.ascontiguousarray(pairs.view(np.float32)[1::2]))
+                read += len(where)
+            self.read += read
             part = part.reshape(-1, docs)
             bound = (asked @ most + np.maximum.reduceat(part, tiles, axis=1)) * loose[live, None]
             for i, first in enumerate(tiles.tolist()):
@@ -406,6 +427,8 @@ class Shard:
                 self.read += len(near) * total.shape[1] * len(whole)
                 own = live[near]
                 reach = total >= floor[own, None]
+                if not reach.any():
+                    continue
                 many = np.flatnonzero(np.count_nonzero(reach, axis=1) > k)
                 if len(many):
                     # Counting documents never overstates the rows that they stand for.
@@ -413,7 +436,7 @@ class Shard:
                     best[own[many]] = top = np.partition(top, k, axis=1)[:, k:]
                     floor[own[many]] = np.maximum(floor[own[many]], top.min(axis=1) / loose[own[many]] ** 3)
                     reach[many] = total[many] >= floor[own[many], None]
-                r, d = np.nonzero(reach)
+                r, d = np.divmod(np.flatnonzero(reach), total.shape[1])
                 found.append((own[r], d + (a + first), total[r, d]))
         out: list[list[tuple[float, int | None]]] = [[] for _ in queries]
         if not found:
@@ -495,13 +518,16 @@ def _search_shards(k: int, mean: float, n: int):
         now, index, open_ = None, None, False
         rows: list[tuple] = []
         waiting: list[tuple[int, np.ndarray, float]] = []
+        asked = 0
 
         def search() -> None:
             """The waiting queries, together."""
+            nonlocal asked
             keys, queries, least = zip(*waiting, strict=True)
             for key, best in zip(keys, index.search_many(list(queries), k, list(least)), strict=True):
                 rows.extend((key, d, s) for s, d in best)
             waiting.clear()
+            asked = 0
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
@@ -530,7 +556,8 @@ def _search_shards(k: int, mean: float, n: int):
                         rows.extend((key, d, s) for s, d in index.search(query, k, least))
                         continue
                     waiting.append((key, query, least))
-                    if len(waiting) >= TOGETHER:
+                    asked += len(query)
+                    if len(waiting) >= TOGETHER or asked >= ASKED:
                         search()
             yield out()
         if waiting:

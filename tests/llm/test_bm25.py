@@ -160,6 +160,34 @@ def test_queries_searched_together_take_little_memory():
     assert peak < 3 * shard.read
 
 
+def test_terms_of_queries_searched_together_are_looked_up_once():
+    import numpy as np
+
+    class Counted(np.ndarray):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += np.size(key)
+            return np.asarray(self)[key]
+
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(3000)]
+    docs = [(i, " ".join(rng.choices(words, k=60))) for i in range(300)]
+    vocabulary = Counter(t for _, text in docs for t in set(text.split()))
+    named = sorted(vocabulary, key=lambda t: (-vocabulary[t], bm25._hash(t)))
+    shard = bm25.Shard(60, len(docs))
+    shard.page(0, np.array([bm25._hash(t) for t in named], "<i8").tobytes(), zlib.compress(np.array([vocabulary[t] for t in named], "<i8").tobytes()))
+    for i, text in docs:
+        shard.add(i, text)
+    shard.close()
+    number = {t: c for c, t in enumerate(named)}
+    query = np.array(sorted(number[t] for t in set(docs[0][1].split())), np.int64)
+    shard.cut = shard.cut.view(Counted)
+    got = shard.search_many([query] * 200, 5, [0.0] * 200)
+    assert 0 < Counted.asked <= 20 * len(query) * len(shard.whole)
+    assert got == [shard.search(query, 5)] * 200
+
+
 def test_rows_that_repeat(spark):
     rows = [(1, "a b c")] * 5 + [(None, "a b")] * 2 + [(-1, "a b"), (2, "q")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
