@@ -29,7 +29,8 @@ rounds, not of shards.
 
 Document frequencies, the number of documents and their mean length are those
 of the whole corpus, so the shards' results merge exactly. Terms are named by
-64-bit hashes; the queries' terms get dense numbers, the commonest first, so a
+64-bit hashes; a text is parted into terms once, and what is stored and dealt
+to the shards are its hashes and counts. The queries' terms get dense numbers, the commonest first, so a
 query travels in some two bytes a term, and a shard's dictionary has the
 queries' terms only. A query's distinct terms count once each:
 score = sum of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1)
@@ -41,7 +42,7 @@ work grows as their product; see the README for figures.
 Defined cases: a null text is empty; a query without terms, or whose terms no
 document holds, has no results; equal scores are ordered by document id, a
 null id first; repeated rows are rows of their own (a shard holds rows equal
-in id and text once, with their number); a document of any length is one
+in id, terms and counts once, with their number); a document of any length is one
 entry; empty tables give an empty result; only the id and the text are read,
 so other columns may have any name.
 """
@@ -52,7 +53,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,8 @@ POSTS = 32_768
 SHORT = 8
 #: Every ROW-th document id is a query; results of a query.
 QUERY_EVERY, TOP = 20, 10
-#: Terms counted before a task sends them on, and terms of a row of the dictionary.
-COUNTED, PAGE = 500_000, 8192
+#: Terms counted before a task sends them on, hashes gathered before they are counted, and terms of a row of the dictionary.
+COUNTED, GATHERED, PAGE = 500_000, 1_000_000, 8192
 #: Terms after the pivot that are read between two tests of the candidates.
 PART = 16
 #: What sums of doubles and of floats may be off by, as a share.
@@ -99,13 +100,31 @@ def _hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _hashes(words: Collection[str]) -> np.ndarray:
+    """:func:`_hash` of each."""
+    try:
+        found = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    except UnicodeEncodeError:
+        return np.fromiter(map(_hash, words), "<i8", len(words))
+    return (found ^ np.uint64(1 << 63)).view("<i8")
+
+
+def _counts(text: str) -> tuple[int, bytes, bytes]:
+    """A text's number of words, the hashes of its terms, ascending, and how often it has each, in one or four bytes."""
+    words = terms(text)
+    counts = Counter(words)
+    hashes, tf = _hashes(counts), np.fromiter(counts.values(), np.uint32, len(counts))
+    order = hashes.argsort()
+    tf = tf[order].astype("u1" if tf.max(initial=0) < 256 else "<u4")
+    return len(words), hashes[order].tobytes(), tf.tobytes()
+
+
 class Shard:
     """The inverted index of one shard; ``read`` counts postings read, ``all`` those of the queries' terms."""
 
     def __init__(self, mean: float, n: int):
         self.mean, self.n = mean, n
         self.pages: list[tuple[int, bytes, bytes]] = []
-        self.names: dict[str, int] = {}
         self.codes: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.sizes: list[int] = []
@@ -128,40 +147,33 @@ class Shard:
         self.hashes = hashes[self.by_hash]
         self.idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
 
-    def _codes(self, words: list[str]) -> list[int]:
-        got = [self.names.get(w) for w in words]
-        new = [i for i, c in enumerate(got) if c is None]
-        if new:
-            h = np.array([_hash(words[i]) for i in new], np.int64)
-            at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-            code = np.where(self.hashes[at] == h, self.by_hash[at], -1) if len(self.hashes) else np.full(len(h), -1)
-            for i, c in zip(new, code.tolist(), strict=True):
-                got[i] = self.names[words[i]] = c
-        return got
-
     def add(self, doc_id: int | None, text: str) -> None:
+        self.put(doc_id, *_counts(text))
+
+    def put(self, doc_id: int | None, size: int, hashes: bytes, tf: bytes) -> None:
+        """A document as :func:`_counts` gives it."""
         if self.hashes is None:
             self._open()
-        key = (doc_id, hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-        at = self.rows.setdefault(key, len(self.rows))
+        at = self.rows.setdefault((doc_id, hashlib.blake2b(hashes + tf, digest_size=16).digest()), len(self.rows))
         if at < len(self.many):
             self.many[at] += 1
             return
-        words = terms(text)
-        counts = Counter(words)
-        codes = np.array(self._codes(list(counts)), np.int32)
-        tf = np.fromiter(counts.values(), np.int32, len(counts))
+        own, counts = np.frombuffer(hashes, "<i8"), np.frombuffer(tf, "u1" if len(tf) * 8 == len(hashes) else "<u4")
+        has = np.zeros(0, np.int64)
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            has = np.flatnonzero(self.hashes[place] == own)
+        codes = self.by_hash[place[has]] if len(has) else np.zeros(0, np.int32)
         order = codes.argsort()
-        order = order[codes[order] >= 0]
         self.codes.append(codes[order])
-        self.counts.append(tf[order])
-        self.sizes.append(len(words))
+        self.counts.append(counts[has[order]].astype(np.int32))
+        self.sizes.append(size)
         self.many.append(1)
 
     def close(self) -> None:
         if self.hashes is None:
             self._open()
-        self.names, self.hashes, self.by_hash = {}, None, None
+        self.hashes, self.by_hash = None, None
         # Documents of like terms and lengths stand together, so blocks and groups differ more in their maxima.
         kinds = self._kinds()
         turned = np.lexsort((np.array(self.sizes, np.int64), kinds)).tolist()
@@ -461,32 +473,55 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df) of a task's documents, in parts; under the null term its documents, words and characters."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words, chars, hashes, tf) of (id, text)."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        size, hashes, tf = zip(*map(_counts, texts), strict=True) if texts else ((), (), ())
+        cols = [pa.array(size, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(hashes, pa.binary()), pa.array(tf, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "words", "chars", "hashes", "tf"])
 
-    def out(counts: Counter, size: tuple[int, int, int]) -> pa.RecordBatch:
-        keys = [*map(_hash, counts), None]
-        df = [*counts.values(), size[0]]
-        words, chars = [0] * len(counts) + [size[1]], [0] * len(counts) + [size[2]]
-        cols = [pa.array(c, pa.int64()) for c in (keys, df, words, chars)]
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df) of a task's documents (words, chars, hashes), in parts; under the null term its documents, words and characters."""
+    docs = words = chars = waiting = 0
+    terms_, df = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts: list[np.ndarray] = []
+
+    def merge() -> None:
+        nonlocal terms_, df, waiting
+        new, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+        both, n = np.concatenate([terms_, new]), np.concatenate([df, n])
+        order = both.argsort(kind="stable")
+        both, n = both[order], n[order]
+        first = np.flatnonzero(np.diff(both, prepend=both[:1] - 1)) if len(both) else np.zeros(0, np.int64)
+        terms_, df, waiting = both[first], np.add.reduceat(n, first) if len(first) else n, 0
+        parts.clear()
+
+    def out(size: tuple[int, int, int] | None) -> pa.RecordBatch:
+        zero = np.zeros(len(terms_), np.int64)
+        cols = [pa.array(c) for c in (terms_, df, zero, zero)]
+        if size:
+            cols = [pa.concat_arrays([c, pa.array([x], pa.int64())]) for c, x in zip(cols, (None, *size), strict=True)]
         return pa.RecordBatch.from_arrays(cols, names=["term", "df", "words", "chars"])
 
-    counts: Counter = Counter()
-    docs = words = chars = 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found = terms(text)
-            counts.update(set(found))
-            docs, words, chars = docs + 1, words + len(found), chars + len(text)
-        if len(counts) >= COUNTED:
-            yield out(counts, (docs, words, chars))
-            counts, docs, words, chars = Counter(), 0, 0, 0
-    yield out(counts, (docs, words, chars))
+        docs, words, chars = docs + len(batch), words + sum(batch.column(0).to_pylist()), chars + sum(batch.column(1).to_pylist())
+        for hashes in batch.column(2).to_pylist():
+            parts.append(np.frombuffer(hashes, "<i8"))
+            waiting += len(parts[-1])
+        if waiting >= GATHERED:
+            merge()
+            if len(terms_) >= COUNTED:
+                yield out(None)
+                terms_, df = terms_[:0], df[:0]
+    merge()
+    yield out((docs, words, chars))
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted(map(_hash, set(terms(t)))) for t in batch.column(1).to_pylist()]
+        found = [np.sort(_hashes(set(terms(t)))) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["query_id", "terms"]
         )
@@ -536,8 +571,8 @@ def _search_shards(k: int, mean: float, n: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["query_id", "doc_id", "score"])
 
         for batch in batches:
-            cols = [batch.column(c) for c in ("shard", "kind", "id", "text", "blob", "more", "least")]
-            for shard, kind, key, text, blob, more, least in zip(*(c.to_pylist() for c in cols), strict=True):
+            cols = [batch.column(c) for c in ("shard", "kind", "id", "size", "blob", "more", "least")]
+            for shard, kind, key, size, blob, more, least in zip(*(c.to_pylist() for c in cols), strict=True):
                 if shard != now:
                     if waiting:
                         search()
@@ -545,7 +580,7 @@ def _search_shards(k: int, mean: float, n: int):
                 if kind == 0:
                     index.page(key, blob, more)
                 elif kind == 1:
-                    index.add(key, text)
+                    index.put(key, size, blob, more)
                 else:
                     if open_:
                         index.close()
@@ -593,7 +628,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_chars: int =
     short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), whole_text().alias("text"))
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), whole_text().alias("text"))
-    counted = docs.select("text").mapInArrow(tidy(_count_terms), "term bigint, df bigint, words bigint, chars bigint")
+    parted = docs.mapInArrow(tidy(_counted), "id bigint, words bigint, chars bigint, hashes binary, tf binary")
+    parted = stored(parted.withColumn("dealt", F.xxhash64("id", "hashes", "tf")))
+    counted = parted.select("words", "chars", "hashes").mapInArrow(tidy(_count_terms), "term bigint, df bigint, words bigint, chars bigint")
     sums = stored(counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "words", "chars")]))
     size = sums.where("term is null").first()
     n, words, chars = (size["df"] or 0, size["words"] or 0, size["chars"] or 0) if size else (0, 0, 0)
@@ -615,8 +652,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_chars: int =
     if shards > 1:
         # As many as keep all cores busy in each round; the results are the same for any number.
         shards = -(-shards // tasks) * tasks
-    shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
-    empty = {"text": "string", "blob": "binary", "more": "binary", "least": "double"}
+    shard = F.pmod("dealt", F.lit(shards)).cast("int")
+    empty = {"size": "bigint", "blob": "binary", "more": "binary", "least": "double"}
 
     def row(kind: int, key: str, **given: str) -> list:
         return [F.lit(kind).alias("kind"), F.col(key).alias("id")] + [
@@ -626,7 +663,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_chars: int =
     def searched(first: int, last: int, least: DataFrame) -> DataFrame:
         """The rows of the shards from ``first`` to before ``last``."""
         each = F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("shard")
-        dealt = docs.select(shard.alias("shard"), *row(1, "id", text="text")).where(F.col("shard").between(first, last - 1))
+        dealt = parted.select(shard.alias("shard"), *row(1, "id", size="words", blob="hashes", more="tf")).where(F.col("shard").between(first, last - 1))
         both = (
             dealt.unionByName(pages.select(each, *row(0, "first", blob="hashes", more="dfs")))
             .unionByName(least.select(each, *row(2, "query_id", blob="blob", least="least")))

@@ -188,6 +188,45 @@ def test_terms_of_queries_searched_together_are_looked_up_once():
     assert got == [shard.search(query, 5)] * 200
 
 
+def test_texts_are_parted_into_terms_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "GATHERED", 50)
+    monkeypatch.setattr(bm25, "COUNTED", 20)
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 40])))) for i in range(60)]
+    docs += [(60, "often " * 300 + "Once w1"), (None, "w1 \u00e9t\u00e9 \u65e5\u672c"), (61, "")]
+    ids, texts = zip(*docs)
+    batches = [pa.record_batch([pa.array(ids[a : a + 9], pa.int64()), pa.array(texts[a : a + 9])], names=["id", "text"]) for a in range(0, 63, 9)]
+    parted = list(bm25._counted(iter(batches)))
+    # From here on there are no texts any more.
+    monkeypatch.setattr(bm25, "terms", None)
+    df, sizes = Counter(), []
+    for b in bm25._count_terms(b.select(["words", "chars", "hashes"]) for b in parted):
+        for term, n, words, chars in zip(*(c.to_pylist() for c in b.columns)):
+            if term is None:
+                sizes.append((n, words, chars))
+            else:
+                df[term] += n
+    found = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    assert df == Counter(bm25._hash(t) for w in found for t in set(w))
+    assert sizes == [(63, sum(map(len, found)), sum(map(len, texts)))]
+    named = sorted(df, key=lambda t: (-df[t], t))
+    page = np.array(named, "<i8").tobytes(), zlib.compress(np.array([df[t] for t in named], "<i8").tobytes())
+    shard = bm25.Shard(sizes[0][1] / 63, 63)
+    shard.page(0, *page)
+    for b in parted:
+        for i, words, _, hashes, tf in zip(*(c.to_pylist() for c in b.columns)):
+            shard.put(i, words, hashes, tf)
+    shard.close()
+    queries = [(i, t) for i, t in enumerate(texts)]
+    want = slow([(-1 if i is None else i, t) for i, t in docs], queries, 5)
+    for q, w in enumerate(found):
+        got = shard.search(np.array(sorted(named.index(bm25._hash(t)) for t in set(w)), np.int64), 5)
+        assert [(round(s, 6), -1 if d is None else d) for s, d in got] == want[q]
+
+
 def test_rows_that_repeat(spark):
     rows = [(1, "a b c")] * 5 + [(None, "a b")] * 2 + [(-1, "a b"), (2, "q")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
